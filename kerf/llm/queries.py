@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerf.llm import quality_rules
+from kerf.llm import decontamination, quality_rules
 from kerf.llm.chat_format import format_turns, read_back
 from kerf.llm.common import table
 from kerf.llm.language_id import predict_language
+from kerf.llm.jaccard_join import near_duplicates
+from kerf.llm.pii import find_pii
 from kerf.llm.quality_classifier import score_quality
 from kerf.llm.toxicity import score_toxicity
 
@@ -18,6 +20,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents")).drop("redacted")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,18 +43,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_decontamination": op3_decontamination,
+    "op4_pii": op4_pii,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_chat_format": op6_chat_format,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_decontamination": decontamination.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
