@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -41,6 +42,45 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files and broadcasts that no plan refers to any more (it does so after a collection)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Bits of the bitmaps by which tasks skip rows that nobody asks for: a fixed bound, whatever the number of ids.
+BITMAP_BITS = 1 << 26
+
+
+class IdFilter:
+    """A bitmap of hashed ids. It passes every id it was made from and few others; it only saves work."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        at = ids.select(self.place(F.col(column)).alias("h"))
+        maps = at.groupBy(F.expr("bitmap_bucket_number(h + 1)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h + 1))").alias("m")).toArrow().to_pylist()
+        bits = np.zeros(BITMAP_BITS // 8, np.uint8)
+        for r in maps:
+            bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["m"], np.uint8)
+        self.shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @staticmethod
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+
+    def keep(self, docs: DataFrame, column: str = "doc_id") -> DataFrame:
+        """Rows of docs that may be asked for."""
+        shared, schema = self.shared, docs.schema
+
+        def run(batches):
+            bits = shared.value
+            for batch in batches:
+                h = batch.column(batch.num_columns - 1).to_numpy()
+                part = batch.filter(pa.array((bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)))
+                yield part.select(range(batch.num_columns - 1))
+
+        return docs.withColumn("_place", self.place(F.col(column))).mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

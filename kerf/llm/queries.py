@@ -13,6 +13,7 @@ from kerf.llm.language_id import predict_language
 from kerf.llm.jaccard_join import near_duplicates
 from kerf.llm.pii import find_pii
 from kerf.llm.quality_classifier import score_quality
+from kerf.llm.suffix_dedup import remove_repeats
 from kerf.llm.toxicity import score_toxicity
 
 
@@ -20,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +58,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
     "op5_quality_classifier": op5_quality_classifier,
