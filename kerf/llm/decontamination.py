@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerf.llm.common import WORD_GAP
+from kerf.llm.common import WORD_GAP, materialize
 
 SPAN = 12
 #: Places in a window that each mask compares.
@@ -40,36 +40,32 @@ def seeds(df: DataFrame, words: str, place: str) -> DataFrame:
     return at.withColumn("seed", F.explode(F.array(*hashes)))
 
 
-def _equal_words() -> tuple[Column, Column]:
-    """Compared words around a hit, and how many of them are equal."""
-    size = F.least(F.lit(WINDOW), F.size("item_words"))
-    start = F.greatest(F.lit(0), F.least(F.col("q") - (WINDOW - SPAN) // 2, F.size("item_words") - size))
-    # Written out place by place, so that the join stays in generated code and no exploded row is ever built with its
-    # document's words.
-    same = lambda i: F.when((size > i) & (F.get("item_words", start + i) == F.get("words", F.col("p") - F.col("q") + start + i)), 1).otherwise(0)
-    equal = same(0)
-    for i in range(1, WINDOW):
-        equal = equal + same(i)
-    return size, equal
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document that holds benchmark text: doc_id, n_items, first_item (least item_id), equal_words (most
     in one window), compared_words (of that window)."""
     own = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     items = benchmark.select("item_id", words_of(F.col("text")).alias("item_words")).distinct()
-    wanted = seeds(items, "item_words", "q").dropDuplicates(["item_id", "item_words", "q", "seed"])
+    size = F.least(F.lit(WINDOW), F.size("item_words"))
+    start = F.greatest(F.lit(0), F.least(F.col("q") - (WINDOW - SPAN) // 2, F.size("item_words") - size))
+    wanted = seeds(items, "item_words", "q").select("item_id", "seed", (F.col("q") - start).alias("into"), F.slice("item_words", start + 1, size).alias("item_window")).distinct()
     found = seeds(own, "words", "p")
+    # The document's words beside the item's window; `lead` of them would lie before its beginning.
+    low = F.col("p") - F.col("into")
+    lead = F.greatest(F.lit(0), -low)
+    window = [lead.alias("lead"), F.slice("words", F.greatest(low, F.lit(0)) + 1, F.size("item_window") - lead).alias("window")]
     if wanted.count() <= BROADCAST_SEEDS:
-        hits = found.join(F.broadcast(wanted), "seed")
+        hits = found.join(F.broadcast(wanted), "seed").select("doc_id", "item_id", "item_window", *window)
     else:
-        pairs = found.select("doc_id", "p", "seed").join(wanted.select("item_id", "q", "seed"), "seed").drop("seed").distinct()
-        hits = pairs.join(own, "doc_id").join(items, "item_id")
-    size, equal = _equal_words()
-    stands = hits.select("doc_id", "item_id", size.alias("compared"), equal.alias("equal")).where(F.col("equal") * 100 >= F.col("compared") * SHARE)
+        pairs = found.select("doc_id", "p", "seed").join(wanted, "seed").drop("seed").distinct()
+        hits = pairs.join(own, "doc_id").select("doc_id", "item_id", "item_window", *window)
+    # Written before the comparison: put into the join, it would make its generated code too long to compile well.
+    hits = materialize(hits.distinct())
+    beside = F.slice("item_window", F.col("lead") + 1, F.size("item_window") - F.col("lead"))
+    equal = F.size(F.filter(F.zip_with(beside, "window", lambda a, b: a == b), lambda x: x)).cast("long")
+    stands = hits.select("doc_id", "item_id", F.size("item_window").cast("long").alias("compared"), equal.alias("equal")).where(F.col("equal") * 100 >= F.col("compared") * SHARE)
     best = F.max(F.col("equal") * 1000 + F.col("compared"))
     return stands.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.min("item_id").alias("first_item"), best.alias("best")).select(
-        "doc_id", "n_items", "first_item", F.expr("best DIV 1000").alias("equal_words"), (F.col("best") % 1000).cast("long").alias("compared_words")
+        "doc_id", "n_items", "first_item", F.expr("best DIV 1000").alias("equal_words"), F.expr("best % 1000").alias("compared_words")
     )
 
 
