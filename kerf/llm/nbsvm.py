@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerf.llm.common import LOWER, SPACE, U64, Rolling, byte_view, crc_mod, id_and_text, mix, steps
 
@@ -191,15 +192,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     return [(texts[i] or "").encode() for i in order], y[order], count.get(1, 0) / sum(count.values())
 
 
-def score_texts(docs: DataFrame, model: Model, features: Features, keep: DataFrame | None = None) -> DataFrame:
-    """doc_id and score of each row."""
+def score_texts(docs: DataFrame, model: Model, features: Features, whole_rows: bool = False) -> DataFrame:
+    """doc_id and score of each row; with whole_rows, all columns of docs and, last, the score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = docs if whole_rows else id_and_text(docs)
+    text_at = own.columns.index("text")
+    keep = list(range(len(own.columns))) if whole_rows else [0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         stamp = np.zeros(1 << BITS, dtype=np.int32)
         for batch in batches:
-            data, off = byte_view(batch.column(1))
+            data, off = byte_view(batch.column(text_at))
             margin = np.full(len(off) - 1, m.bias)
             for i, j in steps(off):
                 for k, idx in enumerate(features(data[off[i] : off[j]], off[i : j + 1] - off[i])):
@@ -207,7 +211,8 @@ def score_texts(docs: DataFrame, model: Model, features: Features, keep: DataFra
                         seq = np.arange(len(idx), dtype=np.int32)
                         stamp[idx] = seq
                         margin[i + k] = m.margin(idx[stamp[idx] == seq])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.score(margin))], names=["doc_id", "score"])
+            part = batch.select(keep)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m.score(margin))], names=[*part.schema.names, "score"])
 
-    own = id_and_text(docs)
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double")
+    schema = T.StructType([own.schema[k] for k in keep] + [T.StructField("score", T.DoubleType())])
+    return own.mapInArrow(run, schema)

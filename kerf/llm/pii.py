@@ -264,3 +264,16 @@ def find_pii(docs: DataFrame, models: dict[str, tuple[Trees, float]] | None = No
 
     own = id_and_text(docs)
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, redacted string")
+
+
+def redact(docs: DataFrame, models: dict[str, tuple[Trees, float]] | None = None) -> DataFrame:
+    """docs with the spans found in text replaced by their kind; all columns kept, null texts stay null."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_pii(docs) if models is None else models)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [redacted(t, find_spans(t, shared.value)[1]) if t else t for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -27,3 +27,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = TEXTS_PER
     """doc_id, held_out, score and predicted (1 if score >= threshold) of each row of docs."""
     scored = nbsvm.score_texts(docs, fit_quality(docs, labels, per_class), nbsvm.token_ngrams)
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), LABEL_MOD) == LABEL_HELD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = TEXTS_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of docs with a score of at least threshold; text must be a string column, and no column be named score."""
+    return nbsvm.score_texts(docs, fit_quality(docs, labels, per_class), nbsvm.token_ngrams, whole_rows=True).where(F.col("score") >= threshold).drop("score")

@@ -13,6 +13,7 @@ from kerf.llm.language_id import predict_language
 from kerf.llm.jaccard_join import near_duplicates
 from kerf.llm.pii import find_pii
 from kerf.llm.quality_classifier import score_quality
+from kerf.llm.sentencepiece_scan import round_trip
 from kerf.llm.suffix_dedup import remove_repeats
 from kerf.llm.toxicity import score_toxicity
 
@@ -52,6 +53,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_chat_format": op6_chat_format,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
