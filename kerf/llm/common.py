@@ -67,16 +67,18 @@ class IdFilter:
     def place(column: Column) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
 
+    def mask(self, places: pa.Array) -> pa.Array:
+        """Which rows may be asked for, from their places; for use inside a task."""
+        h = places.to_numpy()
+        return pa.array((self.shared.value[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool))
+
     def keep(self, docs: DataFrame, column: str = "doc_id") -> DataFrame:
         """Rows of docs that may be asked for."""
-        shared, schema = self.shared, docs.schema
+        schema, n = docs.schema, len(docs.columns)
 
         def run(batches):
-            bits = shared.value
             for batch in batches:
-                h = batch.column(batch.num_columns - 1).to_numpy()
-                part = batch.filter(pa.array((bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)))
-                yield part.select(range(batch.num_columns - 1))
+                yield batch.filter(self.mask(batch.column(n))).select(range(n))
 
         return docs.withColumn("_place", self.place(F.col(column))).mapInArrow(run, schema)
 
