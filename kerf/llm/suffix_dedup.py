@@ -43,6 +43,7 @@ PERIOD = 73
 COVER = np.array([1, 2, 4, 8, 16, 32, 37, 55, 64])
 ANCHOR = LENGTH - PERIOD + 1
 SAMPLES_PER_BUCKET = 1_000_000
+SLICE_BYTES = 4 << 20
 NO_ID = -(1 << 63)
 ON_COVER = np.isin(np.arange(PERIOD), COVER)
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -177,8 +178,7 @@ class SuffixDedup:
                     digest = hashlib.blake2b(data[off[i] : off[i + 1]], digest_size=16).digest()
                     skip[i] = digest in seen
                     seen[digest] = i
-                parts = []
-                for i, j in steps(off):
+                for i, j in steps(off, SLICE_BYTES):
                     n = np.diff(off[i : j + 1])
                     raw = data[off[i] : off[j]]
                     place = np.arange(len(raw)) - np.repeat(off[i:j] - off[i], n)
@@ -187,26 +187,35 @@ class SuffixDedup:
                     owner = np.repeat(np.arange(i, j), n)[at]
                     good = ~skip[owner] & (place[at] + ANCHOR <= (off[1:] - off[:-1])[owner])
                     at, owner = at[good], owner[good]
-                    parts.append((Rolling(raw).span(at, at + ANCHOR), ids[owner], place[at]))
-                if parts:
-                    out = _packed(*[np.concatenate(x) for x in zip(*parts)], buckets)
+                    out = _packed(Rolling(raw).span(at, at + ANCHOR), ids[owner], place[at], buckets)
                     if out is not None:
                         yield out
 
         return self.own.mapInArrow(run, _PLACES)
 
-    def spans(self) -> DataFrame:
-        """doc_id, lo, hi: disjoint spans that go, of texts that are no copies of an earlier one."""
+    def decided(self) -> DataFrame:
+        """kind 0: spans that the cover decides; kind 1: places whose strings are to be sorted."""
         buckets = self.buckets
 
         def ranks(t: pa.Table) -> pa.Table:
             return _by_document(list(_tied(t)), buckets, ["doc", "at", "to", "to_at"])
 
         links = self._samples().groupBy("bucket").applyInArrow(ranks, "bucket int, doc binary, at binary, to binary, to_at binary")
-        found = materialize(links.groupBy("bucket").applyInArrow(_segments, "kind int, doc long, lo long, hi long"))
+        return materialize(links.groupBy("bucket").applyInArrow(_segments, "kind int, doc long, lo long, hi long"))
+
+    def spans(self) -> DataFrame:
+        """doc_id, lo, hi: spans that go; those of one text may touch or overlap."""
+        found = self.decided()
         release(self.spark)
-        asked = found.where("kind = 1").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("asks"))
-        texts = IdFilter(found.where("kind = 1").select("doc").distinct(), "doc").keep(self.own).dropDuplicates(["doc_id"])
+        more = self.sorted_spans(found.where("kind = 1"))
+        release(self.spark)
+        return found.where("kind = 0").select("doc", "lo", "hi").unionByName(more).select(F.col("doc").alias("doc_id"), "lo", "hi")
+
+    def sorted_spans(self, asks: DataFrame) -> DataFrame:
+        """Spans of the asked strings that also start earlier."""
+        buckets = self.buckets
+        asked = asks.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("asks"))
+        texts = IdFilter(asks.select("doc").distinct(), "doc").keep(self.own).dropDuplicates(["doc_id"])
 
         def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -217,8 +226,7 @@ class SuffixDedup:
                 lo, hi = (asks.values.field(k).to_numpy()[o[0] : o[-1]] for k in (0, 1))
                 row = np.repeat(np.arange(len(ids)), np.diff(o))
                 row, lo, hi = unite(row, lo, np.minimum(hi, (off[1:] - off[:-1])[row] - LENGTH + 1))
-                parts = []
-                for i, j in steps(off):
+                for i, j in steps(off, SLICE_BYTES):
                     mine = (row >= i) & (row < j)
                     n = hi[mine] - lo[mine]
                     if not n.sum():
@@ -226,9 +234,7 @@ class SuffixDedup:
                     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[mine], n)
                     owner = np.repeat(row[mine], n)
                     at = off[owner] - off[i] + place
-                    parts.append((Rolling(data[off[i] : off[j]]).span(at, at + LENGTH), ids[owner], place))
-                if parts:
-                    out = _packed(*[np.concatenate(x) for x in zip(*parts)], buckets)
+                    out = _packed(Rolling(data[off[i] : off[j]]).span(at, at + LENGTH), ids[owner], place, buckets)
                     if out is not None:
                         yield out
 
@@ -242,9 +248,7 @@ class SuffixDedup:
             return pa.table({"doc": doc, "lo": lo, "hi": hi})
 
         sorted_strings = texts.join(asked, "doc_id").select("doc_id", "text", "asks").mapInArrow(strings, _PLACES).groupBy("bucket").applyInArrow(repeated, "bucket int, doc binary, at binary")
-        more = materialize(sorted_strings.groupBy("bucket").applyInArrow(spans_of, "doc long, lo long, hi long"))
-        release(self.spark)
-        return found.where("kind = 0").select("doc", "lo", "hi").unionByName(more).select(F.col("doc").alias("doc_id"), "lo", "hi")
+        return materialize(sorted_strings.groupBy("bucket").applyInArrow(spans_of, "doc long, lo long, hi long"))
 
     def result(self) -> DataFrame:
         """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
