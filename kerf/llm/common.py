@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -30,7 +31,6 @@ def work_dir(spark: SparkSession) -> str:
     if not root:
         root = os.environ.get("KERF_LOCAL_WORK") or tempfile.mkdtemp(prefix="kerf-")
         os.environ["KERF_LOCAL_WORK"] = root
-        spark.conf.set("spark.checkpoint.dir", root) if False else None
     return f"{root.rstrip('/')}/kerf-{uuid.uuid4().hex}"
 
 
@@ -43,9 +43,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files and broadcasts that no plan refers to any more (it does so after a collection)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop shuffle files and broadcasts that no plan refers to any more.
+
+    It does so after a collection, and Python's handles on plans are let go of only some time after Python's own one.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 #: Bits of the bitmaps by which tasks skip rows that nobody asks for: a fixed bound, whatever the number of ids.
