@@ -38,15 +38,23 @@ from kerf.llm.common import Rolling, id_and_text, materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32768
+STEP_CHARS = 1_000_000
 LONG = 48  # stretches beyond this are solved one by one
 SPACE, MARK = ord(" "), 0x2581
 NEVER = -np.inf
 
 
+SLOTS = 1 << 18
+
+
+def slot(key: np.ndarray) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64)
+
+
 @dataclass
 class Vocabulary:
     alphabet: np.ndarray  # code point -> small number, 0 for those without a piece
-    edges: np.ndarray  # sorted: node << 16 | number
+    edges: np.ndarray  # open addressing: node << 16 | number, -1 where empty
     targets: np.ndarray
     score: np.ndarray  # by node, NEVER where no piece ends
     piece: np.ndarray  # by node
@@ -57,9 +65,19 @@ class Vocabulary:
     children: list[dict[int, int]]
 
     def step(self, node: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The nodes that the numbers lead to, -1 where there is none."""
         key = node << 16 | number
-        at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
-        return np.where(self.edges[at] == key, self.targets[at], -1)
+        at = slot(key)
+        found = self.edges[at]
+        out = np.where(found == key, self.targets[at], -1)
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (SLOTS - 1)
+            found = self.edges[at[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.targets[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -97,9 +115,16 @@ def vocabulary(path: str) -> Vocabulary:
                 piece.append(-1)
             node = children[node][k]
         score[node], piece[node] = model.get_score(i), i
-    edges = sorted((n << 16 | k, t) for n, d in enumerate(children) for k, t in d.items())
+    links = [(n << 16 | k, t) for n, d in enumerate(children) for k, t in d.items()]
+    if len(links) * 2 > SLOTS:
+        raise ValueError("the vocabulary is too large for the table of its edges")
+    edges, targets = np.full(SLOTS, -1, np.int64), np.full(SLOTS, -1, np.int64)
+    for (key, target), at in zip(links, slot(np.array([x[0] for x in links], np.int64)).tolist()):
+        while edges[at] >= 0:
+            at = (at + 1) & (SLOTS - 1)
+        edges[at], targets[at] = key, target
     at = np.concatenate([[0], np.cumsum([len(t) for t in text])])
-    return Vocabulary(alphabet, np.array([e[0] for e in edges]), np.array([e[1] for e in edges]), np.array(score), np.array(piece), byte_ids, np.frombuffer(b"".join(text), np.uint8), at, max(map(len, usable)), children)
+    return Vocabulary(alphabet, edges, targets, np.array(score), np.array(piece), byte_ids, np.frombuffer(b"".join(text), np.uint8), at, max(map(len, usable)), children)
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -309,6 +334,12 @@ def combine(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
 def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, row (tells giant texts of one id apart; null for others), part and ids of each row; a giant text has a
     part for each chunk."""
+    whole, parts = encode_apart(docs, model, chunk)
+    return whole.unionByName(parts)
+
+
+def encode_apart(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """The rows of encode() of texts below chunk code points, and those of giant texts."""
     own = id_and_text(docs).withColumn("text", F.coalesce("text", F.lit("")))
     kind = own.schema["doc_id"].dataType.simpleString()
     small, giant = own.where(F.char_length("text") < chunk), own.where(F.char_length("text") >= chunk)
@@ -320,7 +351,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
             i = 0
             while i < len(texts):
                 j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) < 2_000_000):
+                while j < len(texts) and (j == i or size + len(texts[j]) < STEP_CHARS):
                     size += len(texts[j])
                     j += 1
                 ids = encode_batch(v, [codes_of(" " + t) if t else np.empty(0, np.int64) for t in texts[i:j]])
@@ -363,7 +394,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     chunks = giant.mapInArrow(split, f"doc_id {kind}, row string, part int, text string, core int")
     path = materialize(chunks.mapInArrow(matrices, "row string, part int, matrix binary").groupBy("row").applyInArrow(states, "row string, part int, enter int, leave int"))
     parts = chunks.join(path, ["row", "part"]).select("doc_id", "row", "part", "text", "core", "enter", "leave").mapInArrow(tokens, out)
-    return small.mapInArrow(whole, out).unionByName(parts)
+    return small.mapInArrow(whole, out), parts
 
 
 def decode_bytes(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
@@ -388,7 +419,10 @@ def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def digests(tokens: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, n_byte_tokens, ids_sha256 (of little-endian 32-bit ids) and decoded_sha256 of each text."""
+    """doc_id, n_tokens, n_byte_tokens, ids_sha256 (of little-endian 32-bit ids) and decoded_sha256 of each text.
+
+    The parts of a text must follow each other within a partition; together() sees to that.
+    """
     kind = tokens.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "decoded_sha256"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -426,11 +460,15 @@ def digests(tokens: DataFrame, model: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_of(state)), [batch.column(0).type, *types])], names=names)
 
     out = f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids_sha256 string, decoded_sha256 string"
-    own = tokens.select("doc_id", "row", "part", "ids")
-    parts = own.where("row IS NOT NULL").repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "part")
-    return own.where("row IS NULL").mapInArrow(run, out).unionByName(parts.mapInArrow(run, out))
+    return tokens.select("doc_id", "row", "part", "ids").mapInArrow(run, out)
+
+
+def together(tokens: DataFrame) -> DataFrame:
+    """The parts of each text in order, within one partition; they are streamed, never gathered."""
+    return tokens.repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "part")
 
 
 def round_trip(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_tokens, n_byte_tokens, ids_sha256, decoded_sha256 of each row of docs."""
-    return digests(encode(docs, model, chunk), model)
+    whole, parts = encode_apart(docs, model, chunk)
+    return digests(whole, model).unionByName(digests(together(parts), model))
