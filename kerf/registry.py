@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from kerf.plans import building, costs, quantities, texts
+from kerf.plans.base import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy().count()
+_MODULES = (building, costs, quantities, texts)
+FLAGSHIP = QUERIES["cost_of_projects"]
