@@ -205,7 +205,7 @@ def fit_pii(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> dict[str, tuple[Tree
 
     got = sample.mapInArrow(run, "kind int, no long, ok boolean, x array<double>").toArrow()
     kind, no, ok = (got.column(c).to_numpy() for c in ("kind", "no", "ok"))
-    x = np.array(got.column("x").to_pylist(), dtype=float).reshape(len(kind), -1)
+    x = np.array(got.column("x").to_pylist(), dtype=float).reshape(len(kind), -1 if len(kind) else 1)
     order = np.lexsort((*x.T[:8], ok, no, kind)) if len(kind) else np.empty(0, int)
     kind, no, ok, x = kind[order], no[order], ok[order].astype(float), x[order]
     models = {k: fit_kind(x[kind == i], ok[kind == i], no[kind == i]) for i, k in enumerate(KINDS)}
