@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from kerf.plans import building, costs, quantities, texts
+from kerf.plans import building, costs, projects, quantities, texts
 from kerf.plans.base import ORACLE, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
 
-_MODULES = (building, costs, quantities, texts)
+_MODULES = (building, costs, projects, quantities, texts)
 FLAGSHIP = QUERIES["cost_of_projects"]
