@@ -1 +1 @@
-"""Functions."""
+"""Column expressions over texts and point arrays."""

@@ -1 +1 @@
-"""Sources."""
+"""Input tables."""

@@ -1 +1 @@
-"""Streaming."""
+"""Empty by design: the survey finds no stream operator. Late revisions are handled by the batch rule WIN-2."""
