@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from kerf.llm.common import U64, IdFilter, Rolling, byte_view, materialize, release, steps
 
 LENGTH = 100
-PERIOD = 73
-#: The powers of 2 modulo 73: a perfect difference set, so each shift is the difference of exactly one pair.
-COVER = np.array([1, 2, 4, 8, 16, 32, 37, 55, 64])
+PERIOD = 31
+#: A perfect difference set modulo 31: each shift is the difference of exactly one pair.
+COVER = np.array([0, 1, 3, 8, 12, 18])
 ANCHOR = LENGTH - PERIOD + 1
 SAMPLES_PER_BUCKET = 1_000_000
 SLICE_BYTES = 4 << 20
