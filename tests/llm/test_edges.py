@@ -198,7 +198,7 @@ def test_sentencepiece(docs, none):
 def test_quality_rules(docs, none):
     got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs).collect()}
     assert got[0]["n_words"] == 0 and got[0]["base_failed"] and not got[0]["kept"]
-    assert got[9]["n_symbols"] == 6 and got[11]["n_words"] == 160 and got[11]["n_repeat_words"] == 160
+    assert got[9]["n_symbols"] == 6 and got[11]["n_words"] == 200 and got[11]["n_repeat_words"] == 200
     assert quality_rules.apply_rules(docs).count() == docs.count() and quality_rules.apply_rules(none).count() == 0
 
 
