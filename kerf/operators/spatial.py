@@ -7,9 +7,14 @@ choice of their size, and adaptive execution splits the rare crowded one.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerf.plans.components import connected
+from kerf.plans.work import written
+
 GRID = 5.0
 
 
@@ -39,22 +44,66 @@ def nearest(pairs: DataFrame, own: list[str], *order: Column) -> DataFrame:
     return pairs.withColumn("nth", F.row_number().over(Window.partitionBy(*own).orderBy(*order))).where("nth = 1").drop("nth")
 
 
-def mutual_nearest(pairs: DataFrame, left: str, right: str, rounds: int = 6) -> DataFrame:
+def mutual_nearest(pairs: DataFrame, left: str, right: str, rounds: int | None = None) -> DataFrame:
     """JOIN-6: one-to-one matches, closest first: in each round the pairs that are each other's nearest.
 
-    Ties of distance go to the lesser ids. Rounds end early in effect when nothing is left; pairs still open after the
-    last round are not matched.
+    Ties of distance go to the lesser ids. Rounds go on until no pair is left, each written to the shared folder; a
+    number of rounds asks for these only (1: the first). Where pairs wait for each other in long chains, as on an
+    evenly spaced row, a round settles few of them: once one leaves more than three quarters open, each connected
+    component of the rest is settled in order in a task of its own, which gives what all further rounds would.
     """
-    out, rest = None, pairs
-    for _ in range(rounds):
-        by = lambda a, b: Window.partitionBy(a).orderBy("distance", left, right)
-        ranked = rest.withColumns({"l": F.row_number().over(by(left, right)), "r": F.row_number().over(by(right, left))})
-        hit = ranked.where("l = 1 AND r = 1").drop("l", "r")
-        out = hit if out is None else out.unionByName(hit)
-        rest = rest.join(hit.select(left), left, "left_anti").join(hit.select(right), right, "left_anti")
+    if rounds is not None:
+        out, rest = None, pairs
+        for _ in range(rounds):
+            hit = _mutual(rest, left, right)
+            out = hit if out is None else out.unionByName(hit)
+            rest = _unmatched(rest, hit, left, right)
+        return out
+    rest = written(pairs.dropDuplicates([left, right, "distance"]))
+    out, n = rest.limit(0), rest.count()
+    while n:
+        hit = written(_mutual(rest, left, right))
+        out, rest, before = out.unionByName(hit), written(_unmatched(rest, hit, left, right)), n
+        n = rest.count()
+        if 4 * n > 3 * before:
+            return out.unionByName(written(_closest_first(rest, left, right)))
     return out
 
 
+def _mutual(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    by = lambda a: Window.partitionBy(a).orderBy("distance", left, right)
+    ranked = pairs.withColumns({"l": F.row_number().over(by(left)), "r": F.row_number().over(by(right))})
+    return ranked.where("l = 1 AND r = 1").drop("l", "r")
+
+
+def _unmatched(pairs: DataFrame, hit: DataFrame, left: str, right: str) -> DataFrame:
+    for c in (left, right):
+        gone = hit.select(F.col(c).alias("gone"))
+        pairs = pairs.join(gone, pairs[c].eqNullSafe(gone["gone"]), "left_anti")
+    return pairs
+
+
+def _closest_first(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """The pairs taken in order of distance and ids, each where both its ends are still free."""
+    node = lambda side, c: F.concat(F.lit(side), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    comp = connected(pairs.select(node("l", left).alias("a"), node("r", right).alias("b")))
+
+    def settle(group: pa.Table) -> pa.Table:
+        order = [(c, "ascending") for c in ("distance", left, right)]
+        group = group.take(pc.sort_indices(group, sort_keys=order, null_placement="at_start"))
+        ls, rs, take = set(), set(), []
+        for i, (x, y) in enumerate(zip(group[left].to_pylist(), group[right].to_pylist())):
+            if x not in ls and y not in rs:
+                ls.add(x)
+                rs.add(y)
+                take.append(i)
+        return group.take(pa.array(take, pa.int64())).select(columns)
+
+    columns = pairs.columns
+    keyed = pairs.withColumn("node", node("l", left)).join(comp, "node").select(*columns, "component")
+    return keyed.groupBy("component").applyInArrow(settle, pairs.schema)
+
+
 def same_object(a: str, b: str) -> Column:
     """JOIN-7: same type, near centres for their size, and like quantities."""
     c = lambda s, k: F.col(f"{s}_{k}")

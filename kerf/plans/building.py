@@ -120,7 +120,7 @@ def same_objects(elements):
 @query("join_scope_dropped", None, "elements")
 def scope_dropped(elements):
     p = spatial.duplicates_across(_objects(elements), (F.col("drawing_id") % 3).cast("int"))
-    return spatial.mutual_nearest(p, "a_element_id", "b_element_id", 4).select(F.col("b_element_id").alias("dropped"), F.col("a_element_id").alias("owner"))
+    return spatial.mutual_nearest(p, "a_element_id", "b_element_id").select(F.col("b_element_id").alias("dropped"), F.col("a_element_id").alias("owner"))
 
 
 _WALLS = "w AS (SELECT drawing_id % 300 AS drawing_id, element_id AS wall_id, CAST(x AS DOUBLE) AS x0, x + length AS x1, y, b FROM elements WHERE etype = 'shear_wall'), op AS (SELECT drawing_id % 300 AS drawing_id, element_id AS opening_id, x + 1 AS ox, y + (element_id % 30) / 10.0E0 AS oy, b * 2 AS width, CASE WHEN h IS NULL THEN 0 ELSE h END AS height, CAST(element_id % 3 AS INT) AS cnt FROM elements WHERE etype = 'parapet')"
