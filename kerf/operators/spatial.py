@@ -18,7 +18,7 @@ from kerf.plans.work import written
 GRID = 5.0
 
 
-def cells(x: Column, y: Column, size: float, reach: int = 0) -> Column:
+def cells(x: Column, y: Column, size: float | Column, reach: int = 0) -> Column:
     """The cell of a point, with its neighbours up to reach cells away."""
     cx, cy = F.floor(x / size).cast("long"), F.floor(y / size).cast("long")
     return F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])
@@ -104,10 +104,15 @@ def _closest_first(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return keyed.groupBy("component").applyInArrow(settle, pairs.schema)
 
 
+def reach(diag: Column) -> Column:
+    """JOIN-7: how far centres may lie apart, by the larger diagonal."""
+    return F.greatest(F.lit(0.35), 0.35 * diag)
+
+
 def same_object(a: str, b: str) -> Column:
     """JOIN-7: same type, near centres for their size, and like quantities."""
     c = lambda s, k: F.col(f"{s}_{k}")
-    near = F.hypot(c(a, "x") - c(b, "x"), c(a, "y") - c(b, "y")) <= F.greatest(F.lit(0.35), 0.35 * F.greatest(c(a, "diag"), c(b, "diag")))
+    near = F.hypot(c(a, "x") - c(b, "x"), c(a, "y") - c(b, "y")) <= reach(F.greatest(c(a, "diag"), c(b, "diag")))
     big, small = F.greatest(c(a, "q"), c(b, "q")), F.least(c(a, "q"), c(b, "q"))
     return near & (big <= 1.6 * small)
 
@@ -117,12 +122,26 @@ def duplicates_across(elements: DataFrame, authority: Column) -> DataFrame:
 
     elements: project_id, floor, etype, drawing_id, element_id, x, y, diag, q, manual. Sheets rank by authority, then by
     id. Elements added by hand are never dropped, and rows without a floor are never compared.
+
+    An element's level is that of the cells (GRID, doubled by level) that its own reach fits into. Pairs are found on
+    the level of the element with the higher one, which lies in that cell and its neighbours; the other one lies in a
+    single cell of each level from its own upward that its floor and type have.
     """
-    side = lambda s: elements.withColumn("rank", authority).where(F.col("floor").isNotNull()).select("project_id", "floor", "etype", *[F.col(k).alias(f"{s}_{k}") for k in ("drawing_id", "element_id", "x", "y", "diag", "q", "manual", "rank")])
-    a = side("a").withColumn("cell", F.explode(cells(F.col("a_x"), F.col("a_y"), GRID, 1)))
-    b = side("b").where(~F.col("b_manual")).withColumn("cell", F.get(cells(F.col("b_x"), F.col("b_y"), GRID), 0))
+    keys = ["project_id", "floor", "etype"]
+    level = F.greatest(F.lit(0), F.ceil(F.log2(reach(F.col("diag")) / GRID * 1.000001)).cast("int"))
+    own = elements.withColumns({"rank": authority, "level": level}).where(F.col("floor").isNotNull())
+    own = own.join(own.groupBy(*keys).agg(F.collect_set("level").alias("levels")), keys)
+    size = GRID * F.pow(F.lit(2.0), F.col("at"))
+
+    def side(s: str, rows: DataFrame, at: Column, around: int) -> DataFrame:
+        placed = rows.withColumn("at", at).withColumn("cell", F.explode(cells(F.col("x"), F.col("y"), size, around)))
+        return placed.select(*keys, "at", "cell", *[F.col(k).alias(f"{s}_{k}") for k in ("drawing_id", "element_id", "x", "y", "diag", "q", "manual", "rank")])
+
+    b_rows = own.where(~F.col("manual"))
+    high = side("a", own, F.col("level"), 1).join(side("b", b_rows, F.explode(F.filter("levels", lambda k: k >= F.col("level"))), 0), [*keys, "at", "cell"])
+    low = side("a", own, F.explode(F.filter("levels", lambda k: k > F.col("level"))), 0).join(side("b", b_rows.where(F.col("level") > F.array_min("levels")), F.col("level"), 1), [*keys, "at", "cell"])
     above = (F.col("a_rank") < F.col("b_rank")) | ((F.col("a_rank") == F.col("b_rank")) & (F.col("a_drawing_id") < F.col("b_drawing_id")))
-    pairs = a.join(b, ["project_id", "floor", "etype", "cell"]).where(above & same_object("a", "b"))
+    pairs = high.unionByName(low).where(above & same_object("a", "b"))
     d = F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y"))
     return pairs.select("project_id", "floor", "etype", "a_element_id", "b_element_id", d.alias("distance"))
 
