@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -34,23 +33,35 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/kerf-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write df as a table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = work_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Spark then drops a query's shuffle files when the query ends, in place of some time after a collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files and broadcasts that no plan refers to any more.
+def materialize(df: DataFrame, spent: Iterable[DataFrame] = ()) -> DataFrame:
+    """Cut lineage: write df as a table in the shared folder and read it back.
 
-    It does so after a collection, and Python's handles on plans are let go of only some time after Python's own one.
+    The shuffle files of the write go when it ends. Tables of earlier calls named in spent are deleted after it; no plan
+    that is still to run may refer to them.
     """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+    spark = df.sparkSession
+    path, before = work_dir(spark), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    for old in spent:
+        discard(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that materialize wrote for df."""
+    spark, path = df.sparkSession, df.written_to
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 #: Bits of the bitmaps by which tasks skip rows that nobody asks for: a fixed bound, whatever the number of ids.

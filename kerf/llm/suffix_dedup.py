@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerf.llm.common import U64, IdFilter, Rolling, byte_view, materialize, release, steps
+from kerf.llm.common import U64, IdFilter, Rolling, byte_view, materialize, steps
 
 LENGTH = 100
 PERIOD = 31
@@ -206,9 +206,7 @@ class SuffixDedup:
     def spans(self) -> DataFrame:
         """doc_id, lo, hi: spans that go; those of one text may touch or overlap."""
         found = self.decided()
-        release(self.spark)
         more = self.sorted_spans(found.where("kind = 1"))
-        release(self.spark)
         return found.where("kind = 0").select("doc", "lo", "hi").unionByName(more).select(F.col("doc").alias("doc_id"), "lo", "hi")
 
     def sorted_spans(self, asks: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def test_band_overlap_and_sketch_bound():
     r = np.random.default_rng(1)
     a = np.unique(r.integers(0, 1 << 62, 400).astype(np.uint64))
     b = np.unique(np.concatenate([a[:350], r.integers(0, 1 << 62, 30).astype(np.uint64)]))
-    x, y = (int.from_bytes(jaccard_join.parity_sketch(s, 2), "big") for s in (a, b))
+    x, y = (int.from_bytes(jaccard_join.parity_bits(s, 2), "big") for s in (a, b))
     assert (x ^ y).bit_count() <= len(np.setxor1d(a, b))
 
 
