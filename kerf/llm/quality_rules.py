@@ -2,11 +2,13 @@
 
 Each text is measured once. For every language and source, mergeable quantile sketches of the measures (Spark's
 percentile_approx: partial sketches in the map tasks, merged after the shuffle) give upper fences in place of fixed
-cutoffs, and the measures are joined with the fences of their group. A fence is third quartile + SPREAD times the
-distance from first to third quartile, but never below the measure's FLOOR, so that a group of clean and even texts
-does not turn its own small variation into failures.
+cutoffs, and the measures are joined with the fences of their group. A fence is third quartile + SPREAD * (distance from
+first to third quartile + one unit). The unit is what a single symbol, line or letter adds to the rate of a text of the
+group's median size, so it comes from sketches too: where most texts have none at all, a few are no failure yet. Groups
+of less than LEAST texts that pass the base rule have the fences of their language, and small languages those of all.
 
-Cases: a null text has no words and fails the base rule. Null languages and sources form groups of their own. Texts of
+Cases: a null text has no words and fails the base rule. Null languages and sources form groups of their own. A text
+whose windows fall among three others of the same 34 hash bits might lose a repeat; no other bound cuts a count short. Texts of
 any length are measured whole. Equal measures share a verdict. Repeated rows are judged row by row. Empty tables give
 empty results. Other columns of the input are not read and are not returned.
 """
@@ -18,9 +20,11 @@ from pyspark.sql import functions as F
 
 from kerf.llm.common import WORD_GAP, materialize
 
-#: Rates per 10,000 below which no fence goes: symbols by word, repeated lines by line, word length in code points.
-FLOOR = {"symbol_rate": 3000, "dup_line_rate": 4000, "word_length_rate": 250000}
-SPREAD = 3
+#: Rates per 10,000, and the size that a unit of each is one part of: symbols by word, repeated lines by line, letters by
+#: word.
+MEASURES = {"symbol_rate": "n_words", "dup_line_rate": "n_lines", "word_length_rate": "n_words"}
+SPREAD = 4
+LEAST = 50
 ACCURACY = 10000
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MOST_REPEATED = 50, 50
@@ -29,10 +33,10 @@ MIN_WORDS, MOST_REPEATED = 50, 50
 def _repeat_words(words: Column) -> Column:
     """Words in windows of three words that stand in the text at least twice.
 
-    Each window's 40 hash bits and its place are one number; sorted, equal windows are neighbours, and neighbours count
+    34 hash bits of each window and its place are one number; sorted, equal windows are neighbours, and neighbours count
     only if their words are really equal. The places in order then tell how many words their windows cover.
     """
-    place = (1 << 24) - 1
+    place = (1 << 30) - 1
     code = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(~place).bitwiseOR(i.cast("long"))
     codes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), code)
 
@@ -40,8 +44,13 @@ def _repeat_words(words: Column) -> Column:
         at = lambda k: F.get(c, k).bitwiseAND(place).cast("int")
         near = lambda x, k: (F.get(c, k).bitwiseXOR(x) <= place) & (F.get(c, k).bitwiseXOR(x) >= 0)
         equal = lambda p, q: (F.get(words, p) == F.get(words, q)) & (F.get(words, p + 1) == F.get(words, q + 1)) & (F.get(words, p + 2) == F.get(words, q + 2))
-        twin = lambda x, i, k: F.coalesce(near(x, k) & equal(at(i), at(k)), F.lit(False))
-        hit = F.filter(c, lambda x, i: twin(x, i, i + 1) | twin(x, i, i - 1))
+
+        def twin(x: Column, i: Column, step: int, left: int = 3) -> Column:
+            k = i + (4 - left) * step
+            found = equal(at(i), at(k)) if left == 1 else equal(at(i), at(k)) | twin(x, i, step, left - 1)
+            return F.coalesce(near(x, k) & found, F.lit(False))
+
+        hit = F.filter(c, lambda x, i: twin(x, i, 1) | twin(x, i, -1))
         places = F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(place).cast("int")))
         state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last"))
         step = lambda s, p: F.struct((s["n"] + F.least(F.lit(3), p - s["last"])).alias("n"), p.alias("last"))
@@ -79,26 +88,44 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
+def _quartiles() -> list[Column]:
+    sizes = dict.fromkeys(MEASURES.values())
+    own = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), ACCURACY).alias(m) for m in MEASURES]
+    return [F.count(F.lit(1)).alias("n"), *own, *[F.percentile_approx(c, F.lit(0.5), ACCURACY).alias(c) for c in sizes]]
+
+
 def fences(measured: DataFrame) -> DataFrame:
-    """Upper fences by language and source, from the texts that pass the base rule."""
+    """f_lang, f_source and the upper fence of each measure, from the texts that pass the base rule."""
     good = measured.where(~F.col("base_failed"))
-    quartiles = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), ACCURACY).alias(m) for m in FLOOR]
-    q = good.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*quartiles)
-    fence = lambda m: F.greatest(F.lit(FLOOR[m]).cast("long"), F.get(m, 1) + SPREAD * (F.get(m, 1) - F.get(m, 0)))
-    return q.select("f_lang", "f_source", *[fence(m).alias(f"{m}_fence") for m in FLOOR])
+
+    def fence(m: str, c: str) -> Column:
+        unit = F.floor(F.lit(10000) / F.greatest(F.col(c), F.lit(1)))
+        return (F.get(m, 1) + SPREAD * (F.get(m, 1) - F.get(m, 0) + unit)).cast("long")
+
+    made = [fence(m, c).alias(m) for m, c in MEASURES.items()]
+    every = good.agg(*_quartiles()).select(*made).first()
+    by_lang = good.groupBy(F.col("lang").alias("p_lang")).agg(*_quartiles()).select("p_lang", F.when(F.col("n") >= LEAST, F.struct(*made)).alias("parent"))
+    own = good.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*_quartiles()).select("f_lang", "f_source", F.when(F.col("n") >= LEAST, F.struct(*made)).alias("own"))
+    both = own.join(by_lang, F.col("f_lang").eqNullSafe(F.col("p_lang")), "left")
+    chosen = lambda m: F.coalesce(F.col("own")[m], F.col("parent")[m], F.lit(every[m]).cast("long"))
+    return both.select("f_lang", "f_source", *[chosen(m).alias(f"{m}_fence") for m in MEASURES])
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept of each row of docs
+    (doc_id, text, lang, source). Cases as in the module's text."""
     measured = materialize(measure(docs))
     limit = fences(measured)
     joined = measured.join(limit, measured["lang"].eqNullSafe(limit["f_lang"]) & measured["source"].eqNullSafe(limit["f_source"]), "left")
     within = F.lit(True)
-    for m in FLOOR:
-        within = within & (F.col(m) <= F.coalesce(F.col(f"{m}_fence"), F.lit(FLOOR[m])))
+    for m in MEASURES:
+        # Without fences there is no text of the group that passes the base rule.
+        within = within & F.coalesce(F.col(m) <= F.col(f"{m}_fence"), F.lit(False))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & within).alias("kept"))
 
 
-_Q = ", ".join(f"quantile_disc({m}, [0.25, 0.75]) AS {m}_q" for m in FLOOR)
+_Q = ", ".join(f"quantile_disc({m}, [0.25, 0.75]) AS {m}_q, quantile_disc({c}, 0.5) AS {m}_c" for m, c in MEASURES.items())
+_FENCE = {m: f"({m}_q[2] + {SPREAD} * ({m}_q[2] - {m}_q[1] + 10000 // greatest({m}_c, 1)))" for m in MEASURES}
 ORACLE = f"""
 WITH t AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents
@@ -126,10 +153,19 @@ WITH t AS (
     CASE WHEN n_words > 0 THEN word_chars * 10000 // n_words ELSE 0 END AS word_length_rate,
     n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed
   FROM m
-), q AS (
-  SELECT lang, source, {_Q} FROM r WHERE NOT base_failed GROUP BY lang, source
+), good AS (
+  SELECT * FROM r WHERE NOT base_failed
+), q0 AS (
+  SELECT count(*) AS n, {_Q} FROM good
+), q1 AS (
+  SELECT lang, count(*) AS n, {_Q} FROM good GROUP BY lang
+), q2 AS (
+  SELECT lang, source, count(*) AS n, {_Q} FROM good GROUP BY lang, source
+), f AS (
+  SELECT q2.lang, q2.source, {", ".join(f"CASE WHEN q2.n >= {LEAST} THEN {_FENCE[m].replace(m, 'q2.' + m)} WHEN q1.n >= {LEAST} THEN {_FENCE[m].replace(m, 'q1.' + m)} ELSE (SELECT {_FENCE[m]} FROM q0) END AS {m}_fence" for m in MEASURES)}
+  FROM q2 LEFT JOIN q1 ON q1.lang IS NOT DISTINCT FROM q2.lang
 )
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND {" AND ".join(f"{m} <= greatest({FLOOR[m]}, coalesce({m}_q[2] + {SPREAD} * ({m}_q[2] - {m}_q[1]), 0))" for m in FLOOR)} AS kept
-FROM r LEFT JOIN q ON r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source
+  NOT base_failed AND {" AND ".join(f"{m} <= {m}_fence" for m in MEASURES)} AS kept
+FROM r LEFT JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
 """
