@@ -1,22 +1,29 @@
 """Personal data by candidate gradient boosting.
 
-High-recall generators propose spans that may overlap: the base patterns of the four kinds, and looser ones (an `@` or
-a spelled-out "at" between words, dotted or spaced groups of digits, long digit runs). Boosted trees score each
-candidate of a kind from format features (lengths, digits, groups, separators, extremes of the groups) and context
-features (words nearby, neighbouring characters, place in the line). There are no hand labels for personal data, so the
-trees learn from the base rule itself: candidates that it accepts against those it turns down (a wrong checksum, an
-octet too large, too few digits), without being shown the rule's checks. A threshold per kind is calibrated on held-out
-candidates so that PRECISION of those above it are accepted ones; if that can't be had, no candidate of the kind is
-added. Base spans always stay; an added span never overlaps another span of its kind, the best score goes first.
-
-Cases: null and empty texts have no spans. Texts of any length are searched whole. Ties of score go to the earlier and
-longer span. Repeated rows are searched row by row. With too few candidates to fit on, only base spans are given. Empty
-tables give empty results. Other columns of the input are not read and are not returned.
+High-recall generators propose spans that may overlap: the base patterns of the four kinds, and looser ones (spelled-out
+or spaced `@` and dots, defanged addresses, dotted or spaced groups of digits, local phone numbers, long digit runs).
+Boosted trees score each candidate of a kind from format features (lengths, digits, groups, separators, checksums,
+octets) and context features (words nearby, neighbouring characters, place in the line).
+
+There are no hand labels for personal data, so examples are planted: into a sample of texts, the forms that the base
+rules do not know are written as positives, and look-alikes (versions, dates, order numbers, failed checksums, handles,
+amounts) as negatives; the candidates that the sampled texts have of their own, beyond the base spans, are negatives too.
+Cue words stand before some of either. A threshold per kind is calibrated on the candidates of held-out texts, so that
+PRECISION of those above it are planted positives; if that can't be had, no candidate of the kind is added. Base spans
+always stay; an added span overlaps no base span and no other span of its kind, the best score goes first.
+
+Fitting uses about FIT_TEXTS texts, chosen by a hash of the id, and FIT_CHARS of each: the bound of what reaches the
+driver. All else covers every text whole.
+
+Cases: null and empty texts have no spans. Ties of score go to the earlier and longer span. Repeated rows are searched
+row by row. With too few candidates to fit on, only base spans are given. Empty tables give empty results. Other columns
+of the input are not read and are not returned; redact keeps all columns.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,9 +36,10 @@ from pyspark.sql import functions as F
 from kerf.llm.common import id_and_text
 
 KINDS = ("email", "ip", "card", "phone")
-#: About so many texts with digits or `@` are fitted on, chosen by a hash of the id: the bound of the fitting sample.
-FIT_TEXTS = 6000
-PRECISION = 0.995
+#: The bounds of the fitting sample: texts, and characters of each.
+FIT_TEXTS = 3000
+FIT_CHARS = 4000
+PRECISION = 0.98
 LEAST_CANDIDATES = 60
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,7 +49,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]{1,63}){0,8}"),
-    "ip": re.compile(r"(?<![0-9.])[0-9]{1,4}(?:[.][0-9]{1,4}){2,5}(?![0-9])"),
+    "ip": re.compile(r"(?<![0-9.])[0-9]{1,4}(?:(?:[.]|\[[.]\]|\([.]\))[0-9]{1,4}){2,5}(?![0-9])"),
     "card": re.compile(r"(?<![0-9])[0-9]{2,6}(?:[\x20.-]?[0-9]{2,6}){2,7}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])(?:\+|00|\()?[0-9]{1,4}[)\x20.-]{0,2}(?:\(?[0-9]{2,4}\)?[\x20.-]?){2,5}(?![0-9])"),
 }
@@ -96,7 +104,7 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
     out = []
     for kind in KINDS:
         own = set(base[kind])
-        loose = {(m.start(), m.end()) for m in LOOSE[kind].finditer(text)}
+        loose = {(m.start(), m.start() + len(m.group().rstrip(" .-("))) for m in LOOSE[kind].finditer(text)}
         strict = {"ip": IP, "card": CARD, "phone": PHONE}.get(kind)
         if strict:
             loose |= {m.span() for m in strict.finditer(text) if m.end() - m.start() <= 80}
@@ -108,12 +116,78 @@ def describe(text: str, start: int, end: int) -> list[float]:
     s = text[start:end]
     groups = re.findall(r"[0-9]+", s)
     sizes = [len(g) for g in groups] or [0]
+    digits = "".join(groups)
     before, after = text[max(0, start - 40) : start].lower(), text[end : end + 12].lower()
-    form = [len(s), sum(sizes), len(groups), max(sizes), min(sizes), sizes[0], s.count("."), s.count("-"), s.count(" "), s.count("("), s.count("@"), s.count("+"), float(s[0] == "+"), float(s[0] == "0"), float(int(groups[0][:6]) if groups else -1), float(max((int(g[:6]) for g in groups), default=-1)), len(s.rsplit(".", 1)[-1])]
-    near = [float(before[-1:].isspace() or not before), float(before[-1:].isalnum()), float(after[:1].isspace() or not after), float(after[:1].isalnum()), float(start - text.rfind("\n", 0, start)), float("=" in before[-4:] or ":" in before[-4:])]
+    form = [len(s), len(digits), len(groups), max(sizes), min(sizes), sizes[0], sizes[-1], s.count("."), s.count("-"), s.count(" "), s.count("("), s.count("["), s.count("@"), s.count("+")]
+    form += [float(s[0] == "+"), float(s[0] == "("), float(s.startswith("00")), float("(at)" in s or "[at]" in s), float("(dot)" in s or "[dot]" in s), float("[.]" in s or "(.)" in s), len(re.split(r"[.]|dot", s)[-1].strip(" )]"))]
+    form += [float(13 <= len(digits) <= 19 and luhn(digits)), max((int(g[:6]) for g in groups), default=-1), int(groups[0][:6]) if groups else -1, float(any(c.isalpha() for c in s))]
+    near = [float(before[-1:].isspace() or not before), float(before[-1:].isalnum()), float(after[:1].isspace() or not after), float(after[:1].isalnum()), float("=" in before[-4:] or ":" in before[-4:]), float("@" in after[:2])]
     return form + near + [float(c in before) for c in CUES]
 
 
+def planted(r: random.Random) -> list[tuple[str, str, bool]]:
+    """For each kind a form that the base rule does not know (True), and a look-alike (False)."""
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    w = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
+    name, site, top = r.choice([w(), f"{w()}.{w()}", f"{w()}{n(2)}"]), r.choice([w(), f"{w()}-{w()}", f"{w()}{n(1)}"]), r.choice(["com", "org", "net", "de", "fr", "es", "io", "info"])
+    at, dot = r.choice([" (at) ", "(at)", " [at] ", "[at]", " @ "]), r.choice([".", " (dot) ", "(dot)", "[dot]"])
+    out = [("email", f"{name}{at}{site}{dot}{top}", True)]
+    out.append(("email", r.choice([f"{w()}@{w()}", f"{n(2)} @ {n(3)}", f"{w()} @ {n(2)}.{n(2)}", f"{w()} @ {w()}", f"{n(1)}@{n(2)}.{n(2)}"]), False))
+    octets = [str(r.randint(0, 255)) for _ in range(4)]
+    out.append(("ip", r.choice(["[.]", "(.)"]).join(octets), True))
+    out.append(("ip", r.choice([f"{n(1)}.{n(1)}.{n(2)}", f"{r.randint(10, 31)}.{r.randint(10, 12)}.20{n(2)}", f"{n(1)}.{n(1)}.{n(1)}.{n(1)}.{n(2)}", f"{r.randint(300, 999)}.{n(2)}.{n(2)}.{n(1)}", "[.]".join([str(r.randint(300, 999)), n(2), n(1)])]), False))
+    body = r.choice("3456") + n(14)
+    card = next(body + c for c in "0123456789" if luhn(body + c))
+    wrong = body + r.choice([c for c in "0123456789" if not luhn(body + c)])
+    cut = lambda x, sep: sep.join(x[i : i + 4] for i in range(0, 16, 4))
+    out.append(("card", cut(card, "."), True))
+    out.append(("card", r.choice([cut(wrong, "."), wrong, cut(wrong, " "), f"1.{n(3)}.{n(3)}.{n(3)}.{n(3)}", n(12)]), False))
+    area, mid, last = r.choice("23456789") + n(2), n(3), n(4)
+    out.append(("phone", r.choice([f"({area}) {mid}-{last}", f"{area}-{mid}-{last}", f"{area}.{mid}.{last}", f"00{r.choice(['49', '33', '34', '44'])} {n(2)} {n(3)} {n(4)}", f"0{n(2)} {n(3)} {n(4)}"]), True))
+    out.append(("phone", r.choice([f"20{n(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"19{n(2)}-20{n(2)}", n(16), n(7), f"{n(2)} {n(2)} {n(2)}", f"{r.randint(10, 28)}.{r.randint(10, 12)}.19{n(2)}", f"{n(1)}.{n(3)}.{n(3)}"]), False))
+    return out
+
+
+#: Words written before planted examples: of personal data, of look-alikes, and of either.
+PLANT_CUES = {True: ["mail", "contact", "ip", "host", "card", "visa", "phone", "tel", "call"], False: ["version", "order", "id", "total", "on", "page", "serial"]}
+
+
+def examples(text: str) -> list[tuple[str, bool, list[float]]]:
+    """kind, label and features of the candidates of a text (FIT_CHARS of it) with examples planted between its words."""
+    r = random.Random(hashlib.sha256(text.encode()).hexdigest())
+    start = r.randrange(max(1, len(text) - FIT_CHARS))
+    words = text[start : start + FIT_CHARS].split(" ")
+    marks: dict[int, list[tuple[str, str, bool]]] = {}
+    for x in planted(r):
+        marks.setdefault(r.randrange(len(words) + 1), []).append(x)
+    out, put, at = [], [], 0
+    for i in range(len(words) + 1):
+        for kind, form, label in marks.get(i, []):
+            if r.random() < (0.5 if label else 0.3):
+                cue = r.choice(PLANT_CUES[label if r.random() < 0.8 else not label]) + r.choice([" ", ": "])
+                out.append(cue[:-1])
+                at += len(cue)
+            out.append(form)
+            put.append((kind, at, at + len(form), label))
+            at += len(form) + 1
+        if i < len(words):
+            out.append(words[i])
+            at += len(words[i]) + 1
+    whole = " ".join(out)
+    base = base_spans(whole)
+    fixed = [x for k in KINDS for x in base[k]]
+    rows = []
+    for kind, s, e, ok in candidates(whole, base):
+        if ok or any(s < b and a < e for a, b in fixed):
+            continue
+        near = [(a, b) for k, a, b, label in put if label and s < b and a < e]
+        exact = any(k == kind and label and (a, b) == (s, e) for k, a, b, label in put)
+        # Parts of a planted positive, and it under other kinds, are neither.
+        if exact or not near:
+            rows.append((kind, exact, describe(whole, s, e)))
+    return rows
+
+
 @dataclass
 class Trees:
     """Boosted regression trees of fixed depth on binned features: logistic loss, Newton leaf values."""
@@ -173,7 +247,8 @@ class Trees:
 
 
 def fit_kind(x: np.ndarray, y: np.ndarray, text_no: np.ndarray) -> tuple[Trees, float] | None:
-    """Trees and threshold of one kind; None if there is too little to learn from or no threshold is precise enough."""
+    """Trees and threshold (even odds at least) of one kind; None if there is too little to learn from or no threshold is
+    precise enough."""
     hold = text_no % 3 == 0
     if min((y == 1).sum(), (y == 0).sum()) < 10 or len(y) < LEAST_CANDIDATES or len(set(y[hold])) < 2 or len(set(y[~hold])) < 2:
         return None
@@ -183,30 +258,31 @@ def fit_kind(x: np.ndarray, y: np.ndarray, text_no: np.ndarray) -> tuple[Trees,
     right = np.cumsum(t[order]) / np.arange(1, len(t) + 1)
     last = np.append(p[order][1:] != p[order][:-1], True)
     good = np.flatnonzero((right >= PRECISION) & last)
-    return (trees, float(p[order][good[-1]])) if len(good) and good[-1] >= 20 else None
+    return (trees, max(0.5, float(p[order][good[-1]]))) if len(good) and good[-1] >= 20 else None
 
 
 def fit_pii(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> dict[str, tuple[Trees, float]]:
-    own = id_and_text(docs).where(F.col("text").rlike("[0-9@]"))
+    """Trees and threshold of each kind, from examples planted into about fit_texts texts of docs."""
+    own = id_and_text(docs).where("text <> ''")
     share = int(min(1.0, fit_texts / max(1, own.count())) * 2**31)
     sample = own.where(F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(2**31)) < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, no, accepted, x = [], [], [], []
+            kind, no, label, x = [], [], [], []
             for text in batch.column(1).to_pylist():
                 code = int.from_bytes(hashlib.sha256(text.encode()).digest()[:4], "big")
-                for k, s, e, ok in candidates(text, base_spans(text)):
+                for k, y, features in examples(text):
                     kind.append(KINDS.index(k))
                     no.append(code)
-                    accepted.append(ok)
-                    x.append(describe(text, s, e))
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(no, pa.int64()), pa.array(accepted, pa.bool_()), pa.array(x, pa.list_(pa.float64()))], names=["kind", "no", "ok", "x"])
+                    label.append(y)
+                    x.append(features)
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(no, pa.int64()), pa.array(label, pa.bool_()), pa.array(x, pa.list_(pa.float32()))], names=["kind", "no", "ok", "x"])
 
-    got = sample.mapInArrow(run, "kind int, no long, ok boolean, x array<double>").toArrow()
+    got = sample.mapInArrow(run, "kind int, no long, ok boolean, x array<float>").toArrow()
     kind, no, ok = (got.column(c).to_numpy() for c in ("kind", "no", "ok"))
-    x = np.array(got.column("x").to_pylist(), dtype=float).reshape(len(kind), -1 if len(kind) else 1)
-    order = np.lexsort((*x.T[:8], ok, no, kind)) if len(kind) else np.empty(0, int)
+    x = got.column("x").combine_chunks().flatten().to_numpy().astype(float).reshape(len(kind), -1 if len(kind) else 1)
+    order = np.lexsort((*x.T, ok, no, kind)) if len(kind) else np.empty(0, int)
     kind, no, ok, x = kind[order], no[order], ok[order].astype(float), x[order]
     models = {k: fit_kind(x[kind == i], ok[kind == i], no[kind == i]) for i, k in enumerate(KINDS)}
     return {k: m for k, m in models.items() if m}
@@ -219,7 +295,8 @@ def find_spans(text: str, models: dict[str, tuple[Trees, float]]) -> tuple[dict[
         return empty, empty
     base = base_spans(text)
     every = {k: list(v) for k, v in base.items()}
-    more = [c for c in candidates(text, base) if not c[3] and c[0] in models]
+    fixed = [x for k in KINDS for x in base[k]]
+    more = [c for c in candidates(text, base) if not c[3] and c[0] in models and all(c[2] <= a or b <= c[1] for a, b in fixed)]
     for kind in {c[0] for c in more}:
         trees, least = models[kind]
         own = [c for c in more if c[0] == kind]
