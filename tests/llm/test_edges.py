@@ -110,6 +110,75 @@ def test_jaccard_against_brute_force(docs, none):
     assert jaccard_join.near_duplicates(none).count() == 0
 
 
+def near_copy_families():
+    """Families of edited copies (most too far from each other), texts around shared passages, parts of texts, copies."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    passages = [[word() for _ in range(k)] for k in (8, 20, 60)]
+    out = []
+    for size in (12, 40, 90, 320):
+        base = [word() for _ in range(size)]
+        for k in range(26):
+            t = list(base)
+            for _ in range(r.choice([0, 1, 1, size // 60 + 1, size // 35 + 1, size // 25 + 2])):
+                t[r.randrange(len(t))] = word()
+            if k % 9 == 0:
+                t = t[: len(t) * 5 // 6]
+            out.append(t)
+        for k in range(12):
+            own = [word() for _ in range(size // 3)]
+            out.append(own + passages[k % 3] + [word() for _ in range(r.randrange(4))])
+    out += out[::17]
+    r.shuffle(out)
+    return [" ".join(t) for t in out]
+
+
+def components(texts):
+    sets = []
+    for t in texts:
+        w = [x for x in __import__("re").split("[\x20\x09-\x0d]+", t.lower()) if x]
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    low = list(range(len(texts)))
+
+    def find(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                low[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in range(len(sets))}
+
+
+@pytest.mark.parametrize("seats", [2, 16, jaccard_join.SEATS])
+def test_jaccard_of_large_groups_against_brute_force(spark, seats):
+    """Keys of many nodes in several components; with few seats the residues do the work, over several rounds."""
+    texts = near_copy_families()
+    want = components(texts)
+    assert 20 < len({c for _, c in want.values()}) < len(texts) - 60
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = jaccard_join.JaccardJoin(df, keys_per_bucket=2000, seats=seats).components().collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_jaccard_keys_of_linked_sets_meet():
+    """Linked sets have so many keys in common, also where a set fills too few cells."""
+    r = np.random.default_rng(4)
+    for n in (1, 3, 4, 20, 47, 48, 100, 287, 288, 1000, 1727):
+        for _ in range(20):
+            both = r.integers(0, 1 << 62, n).astype(np.uint64)
+            k = int(r.integers(0, n // 4 + 1))
+            a = np.unique(both)
+            b = np.unique(np.concatenate([both[k:], r.integers(0, 1 << 62, int(r.integers(0, max(1, (n // 4 - k) * 4 // 3 + 1)))).astype(np.uint64)]))
+            if 100 * len(np.intersect1d(a, b)) < 75 * len(np.union1d(a, b)):
+                continue
+            (x, p), (y, q) = jaccard_join.cell_keys(a), jaccard_join.cell_keys(b)
+            assert len(np.intersect1d(x, y)) >= max(p, q), (n, len(a), len(b))
+
+
 def test_band_overlap_and_sketch_bound():
     for a in range(1, 3000):
         for b in (a, min(a + 1, a * 4 // 3), a * 4 // 3):
@@ -156,6 +225,53 @@ def test_pii_matches_plain_expressions():
         assert base["ip"] == [m.span() for m in ip.finditer(t) if all(int(x) <= 255 for x in m.group().split("."))], t
 
 
+def test_pii_cards_and_phones_match_plain_expressions():
+    import re
+
+    r = random.Random(4)
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+    def checks(x):
+        d = [int(c) for c in x if c.isdigit()][::-1]
+        return 13 <= len(d) <= 19 and sum(v if i % 2 == 0 else sum(map(int, str(2 * v))) for i, v in enumerate(d)) % 10 == 0
+
+    hits = 0
+    for k in range(6000):
+        t = "".join(r.choice("0123456789012345678 -+()." if k % 2 else "+1 2-3(4).5x") for _ in range(70))
+        base = pii.base_spans(t)
+        want = [m.span() for m in card.finditer(t) if checks(m.group())]
+        hits += len(want)
+        assert base["card"] == want, t
+        assert base["phone"] == [m.span() for m in phone.finditer(t) if 9 <= sum(c.isdigit() for c in m.group()) <= 15], t
+    assert hits > 20
+
+
+def test_pii_adds_forms_that_the_base_rules_do_not_know(spark):
+    """Precision and recall of added spans on texts with other words and values than those fitted on."""
+    r = random.Random(77)
+    words = lambda k: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(k))
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    fit = spark.createDataFrame([(i, f"{words(60)} {n(r.randint(1, 6))} {words(30)}") for i in range(1200)], "doc_id long, text string")
+    models = pii.fit_pii(fit)
+    assert set(models) == set(pii.KINDS)
+    rows, want = [], {}
+    for i in range(300):
+        good = [("email", f"{words(1)}.{words(1)} (at) {words(1)} (dot) org"), ("ip", f"10[.]{n(2)}[.]7[.]2{n(1)}"), ("card", "4111.1111.1111.1111"), ("phone", f"(415) {n(3)}-{n(4)}")][i % 4]
+        bad = [f"version 4.{n(1)}.1{n(1)}", f"order {n(12)}", f"on 2021-0{r.randint(1, 9)}-1{n(1)}", f"{words(1)} @ {n(2)}"][i // 4 % 4]
+        first = f"{words(20)} "
+        rows.append((i, f"{first}{good[1]} {words(20)} {bad} {words(9)} a@b.com"))
+        want[i] = (good[0], len(first), len(first) + len(good[1]))
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), models).collect()
+    added = {}
+    for x in got:
+        assert x["n_email"] == 1 and x["base_sha256"] == hashlib.sha256(f"email:{len(rows[x['doc_id']][1]) - 7}:{len(rows[x['doc_id']][1])}".encode()).hexdigest()
+        spans = {(k, int(s), int(e)) for k, s, e in (p.split(":") for p in x["spans"].split(","))} - {("email", len(rows[x["doc_id"]][1]) - 7, len(rows[x["doc_id"]][1]))}
+        assert len(spans) == x["n_added"]
+        added[x["doc_id"]] = spans
+    right = sum(want[i] in s for i, s in added.items())
+    assert right >= 0.85 * len(want) and right >= 0.95 * sum(map(len, added.values()))
+
+
 def test_pii_frames(docs, none):
     got = pii.find_pii(docs)
     assert got.count() == docs.count() and pii.find_pii(none).count() == 0
@@ -210,3 +326,18 @@ def test_quality_rules_repeats(spark):
         w = texts[row["doc_id"]].split()
         windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
         assert row["n_repeat_words"] == len({i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(3)}), w
+
+
+def test_quality_rules_follow_their_group(spark):
+    """One text, one measure: beyond the fence of an even source, within that of an uneven one; a small source has its
+    language's."""
+    r = random.Random(8)
+    words = lambda n, size: " ".join("".join(r.choice("abcdefgh") for _ in range(size)) for _ in range(n))
+    rows = [(i, words(200, 5), "en", "even") for i in range(60)]
+    rows += [(100 + i, words(200, 4 + i % 6), "en", "wide") for i in range(60)]
+    probe = words(200, 8)
+    rows += [(1000, probe, "en", "even"), (1001, probe, "en", "wide"), (1002, probe, "en", "small"), (1003, words(200, 5) + " ###", "en", "even"), (1004, words(200, 5) + " #" * 9, "en", "even")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x["doc_id"]: x["kept"] for x in quality_rules.apply_rules(df).collect()}
+    assert [got[i] for i in range(1000, 1005)] == [False, True, True, True, False]
+    assert all(got[i] for i in range(60)) and all(got[100 + i] for i in range(60))
