@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one vectorised step works on.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -35,6 +35,8 @@ def work_dir(spark: SparkSession) -> str:
 
 #: Spark then drops a query's shuffle files when the query ends, in place of some time after a collection.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What materialize sets while it writes. Smaller Arrow batches keep the memory of Python workers small.
+WRITING = {CLEANUP: "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def materialize(df: DataFrame, spent: Iterable[DataFrame] = ()) -> DataFrame:
@@ -44,12 +46,14 @@ def materialize(df: DataFrame, spent: Iterable[DataFrame] = ()) -> DataFrame:
     that is still to run may refer to them.
     """
     spark = df.sparkSession
-    path, before = work_dir(spark), spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    path, before = work_dir(spark), {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     for old in spent:
         discard(old)
     out = spark.read.schema(df.schema).parquet(path)
