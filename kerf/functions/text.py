@@ -75,16 +75,40 @@ def components(text: Column) -> Column:
     return F.transform(part, lambda x: F.struct(g(x, 1).alias("code"), F.coalesce(F.when(g(x, 2) != "", g(x, 2).try_cast("double")), F.lit(1.0)).alias("factor"), g(x, 3).alias("times"), g(x, 4).alias("spec")))
 
 
+#: The words of floor titles and their ranks.
+FLOOR_ORDINALS = ("BIRINCI", "IKINCI", "UCUNCU", "DORDUNCU", "BESINCI", "ALTINCI", "YEDINCI", "SEKIZINCI", "DOKUZUNCU", "ONUNCU")
+FOUNDATION_RANK, ATTIC_RANK, ROOF_RANK, MEZZANINE_RANK = -100.0, 98.0, 99.0, 0.5
+
+
 def floor_rank(title: Column) -> Column:
-    """AGG-28: rank of a floor by its title: foundation -100, basements negative, ground 0, mezzanine 0.5, roof 99."""
+    """AGG-28: rank of a floor by its title; null if no word or number of it names a floor.
+
+    Titles of several floors count as their lowest; a sheet code counts where no numbered floor follows.
+    """
     n = normalize_title(title)
-    num = lambda p: F.when(n.rlike(p), F.regexp_extract(n, p, 1).cast("double"))
-    ordinals = ("BIRINCI", "IKINCI", "UCUNCU", "DORDUNCU", "BESINCI", "ALTINCI", "YEDINCI", "SEKIZINCI", "DOKUZUNCU", "ONUNCU")
-    out = F.when(n.rlike(r"TEMEL"), -100.0).when(n.rlike(r"\d+\s*\.?\s*BODRUM"), -num(r"(\d+)\s*\.?\s*BODRUM")).when(n.contains("BODRUM"), -1.0)
-    out = out.when(n.rlike(r"CATI\s*(KAT|ARASI)|TERAS\s*KAT"), 98.0).when(n.rlike("CATI|TERAS"), 99.0).when(n.contains("ASMA"), 0.5).when(n.rlike("ZEMIN|GIRIS"), 0.0)
-    for k, word in enumerate(ordinals, 1):
-        out = out.when(n.rlike(rf"\b{word}\b"), float(k))
-    return out.when(n.rlike(r"\d+\s*\.?\s*(KAT|NORMAL)"), num(r"(\d+)\s*\.?\s*(?:KAT|NORMAL)")).when(n.rlike("NORMAL|TIP"), 1.0)
+
+    def number(pattern: str, of: Column = n) -> Column:
+        return F.regexp_extract(of, pattern, 1).try_cast("double")
+
+    def word(pattern: str, rank: float) -> Column:
+        return F.when(n.rlike(pattern), F.lit(rank))
+
+    numbered = r"(\d+)\s*\.?\s*(?:KAT|NORMAL)"
+    code = F.when(~n.rlike(r"\d\s*\.?\s*(?:KAT|NORMAL)"), number(r"\b[A-Z]{2,4}[-_ ](\d{1,2})\b"))
+    return F.coalesce(
+        word(r"TEMEL|\bTEM\b", FOUNDATION_RANK),
+        number(r"(\d+)\s*\.?\s*(?:-|/|,|VE)\s*\d+\s*\.?\s*(?:KAT|NORMAL)", F.upper(title)),
+        code,
+        -number(r"(\d+)\s*\.?\s*BODRUM"),
+        word("BODRUM", -1.0),
+        word(r"(?:CATI|TERAS)\s*KAT|CATI\s*ARASI", ATTIC_RANK),
+        word("CATI|TERAS", ROOF_RANK),
+        word("ASMA", MEZZANINE_RANK),
+        word("ZEMIN|GIRIS", 0.0),
+        *[word(rf"\b{w}\b", float(k)) for k, w in enumerate(FLOOR_ORDINALS, 1)],
+        number(numbered),
+        word("NORMAL|TIP", 1.0),
+    )
 
 
 def first_rule(rows: DataFrame, rules: DataFrame, value: str, result: str, scope: str | None = None) -> DataFrame:

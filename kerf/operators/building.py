@@ -13,10 +13,20 @@ def identity() -> Column:
 
 
 def superseded_by(drawings: DataFrame) -> DataFrame:
-    """WIN-2: of each identity the newest sheet replaces the others: by file date, undated sheets by upload order."""
+    """WIN-2: each upload replaces the current sheet of its identity, unless both are dated and the upload is older; such
+    a stale upload is itself replaced by the current sheet.
+
+    An undated sheet always becomes current, so it starts a run; in a run a dated one does if none before it is newer.
+    """
     known = drawings.withColumn("identity", identity()).where(F.col("identity").isNotNull())
-    w = Window.partitionBy("project_id", "identity").orderBy(F.coalesce("revision", F.to_date(F.lit("1900-01-01"))), "uploaded")
-    return known.withColumn("superseded_by", F.lead("drawing_id").over(w)).select("project_id", "drawing_id", "identity", "superseded_by")
+    order = Window.partitionBy("project_id", "identity").orderBy("uploaded", "drawing_id")
+    before = Window.unboundedPreceding, -1
+    known = known.withColumn("run", F.sum(F.col("revision").isNull().cast("int")).over(order))
+    newest = F.max("revision").over(Window.partitionBy("project_id", "identity", "run").orderBy("uploaded", "drawing_id").rowsBetween(*before))
+    known = known.withColumn("leader", F.when(F.col("revision").isNull() | newest.isNull() | (F.col("revision") >= newest), F.col("drawing_id")))
+    after = F.first("leader", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    held = F.last("leader", ignorenulls=True).over(order.rowsBetween(*before))
+    return known.withColumn("superseded_by", F.when(F.col("leader").isNotNull(), after).otherwise(held)).select("project_id", "drawing_id", "identity", "superseded_by")
 
 
 def level_steps(levels: DataFrame, keys: list[str]) -> DataFrame:

@@ -186,7 +186,24 @@ def floor_clusters(elements):
     return spatial.clusters(elements.select((F.col("drawing_id") % 500).alias("sheet"), "x"), ["sheet"], 15.0, 20)
 
 
-@query("win_revisions", "WITH k AS (SELECT *, CASE WHEN level IS NOT NULL THEN concat('kot:', printf('%.2f', level)) WHEN rank IS NOT NULL THEN concat('sira:', rank) END AS fl FROM drawings), i AS (SELECT *, concat_ws('|', block, plan_type, fl) AS identity FROM k WHERE fl IS NOT NULL) SELECT project_id, drawing_id, identity, lead(drawing_id) OVER (PARTITION BY project_id, identity ORDER BY coalesce(revision, DATE '1900-01-01'), uploaded) AS superseded_by FROM i", "drawings")
+_REVISIONS = """
+WITH i AS (
+  SELECT project_id, drawing_id, revision, uploaded, concat_ws('|', block, plan_type, CASE WHEN level IS NOT NULL THEN concat('kot:', printf('%.2f', level)) ELSE concat('sira:', rank) END) AS identity
+  FROM drawings WHERE level IS NOT NULL OR rank IS NOT NULL
+), stale AS (
+  SELECT DISTINCT n.project_id, n.drawing_id FROM i n JOIN i o ON o.project_id = n.project_id AND o.identity = n.identity AND o.uploaded < n.uploaded AND o.revision > n.revision
+  WHERE NOT EXISTS (SELECT 1 FROM i u WHERE u.project_id = n.project_id AND u.identity = n.identity AND u.revision IS NULL AND u.uploaded > o.uploaded AND u.uploaded < n.uploaded)
+), lead AS (
+  SELECT * FROM i ANTI JOIN stale USING (project_id, drawing_id)
+), near AS (
+  SELECT i.project_id, i.drawing_id, CASE WHEN s.drawing_id IS NULL THEN arg_min(l.drawing_id, l.uploaded) FILTER (l.uploaded > i.uploaded) ELSE arg_max(l.drawing_id, l.uploaded) FILTER (l.uploaded < i.uploaded) END AS superseded_by
+  FROM i LEFT JOIN stale s USING (project_id, drawing_id) LEFT JOIN lead l ON l.project_id = i.project_id AND l.identity = i.identity GROUP BY i.project_id, i.drawing_id, s.drawing_id
+)
+SELECT project_id, drawing_id, identity, superseded_by FROM i JOIN near USING (project_id, drawing_id)
+"""
+
+
+@query("win_revisions", _REVISIONS, "drawings")
 def revisions(drawings):
     return building.superseded_by(drawings)
 

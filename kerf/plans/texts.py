@@ -99,10 +99,10 @@ def recipe_text(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), F.explode(text.components(t)).alias("c")).select("id", "c.*")
 
 
-_TITLE = "CASE o_orderkey % 8 WHEN 0 THEN 'TEMEL PLANI' WHEN 1 THEN '2. BODRUM KAT' WHEN 2 THEN 'Bodrum kat planı' WHEN 3 THEN 'ZEMİN KAT' WHEN 4 THEN '3. NORMAL KAT' WHEN 5 THEN 'Çatı planı' WHEN 6 THEN 'asma kat' ELSE 'DETAY' END"
+_TITLE = "CASE o_orderkey % 12 WHEN 8 THEN '1.-2. NORMAL KAT PLANI' WHEN 9 THEN 'TEM PLANI' WHEN 10 THEN 'STA-03' WHEN 11 THEN 'STA-03 5. KAT' WHEN 0 THEN 'TEMEL PLANI' WHEN 1 THEN '2. BODRUM KAT' WHEN 2 THEN 'Bodrum kat planı' WHEN 3 THEN 'ZEMİN KAT' WHEN 4 THEN '3. NORMAL KAT' WHEN 5 THEN 'Çatı planı' WHEN 6 THEN 'asma kat' ELSE 'DETAY' END"
 
 
-@query_on_tables("agg_floor_rank", f"SELECT o_orderkey AS id, {_TITLE} AS title, CASE o_orderkey % 8 WHEN 0 THEN -100.0E0 WHEN 1 THEN -2 WHEN 2 THEN -1 WHEN 3 THEN 0 WHEN 4 THEN 3 WHEN 5 THEN 99 WHEN 6 THEN 0.5E0 END AS rank FROM orders")
+@query_on_tables("agg_floor_rank", f"SELECT o_orderkey AS id, {_TITLE} AS title, CASE o_orderkey % 12 WHEN 8 THEN 1 WHEN 9 THEN -100 WHEN 10 THEN 3 WHEN 11 THEN 5 WHEN 0 THEN -100.0E0 WHEN 1 THEN -2 WHEN 2 THEN -1 WHEN 3 THEN 0 WHEN 4 THEN 3 WHEN 5 THEN 99 WHEN 6 THEN 0.5E0 END AS rank FROM orders")
 def floor_ranks(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS id", f"{_TITLE} AS title")
     return o.withColumn("rank", text.floor_rank(F.col("title")))

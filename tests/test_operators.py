@@ -59,6 +59,19 @@ def test_two_copies_of_a_sheet_count_once(spark):
     assert rows(match, "a_element_id", "b_element_id") == [(100 + i, 200 + i) for i in range(12)]
 
 
+def test_revisions_by_upload(spark):
+    """An older dated upload loses; an undated one and a newer one win."""
+    rows = [(1, "2024-03-01", 1), (2, None, 2), (3, "2024-02-01", 3), (4, "2024-01-01", 4), (5, "2024-02-01", 5)]
+    d = spark.createDataFrame([(1, i, "A", "kalip", 3.0, None, r, u) for i, r, u in rows], "project_id int, drawing_id int, block string, plan_type string, level double, rank int, revision string, uploaded int").withColumn("revision", F.to_date("revision"))
+    assert {r["drawing_id"]: r["superseded_by"] for r in building.superseded_by(d).collect()} == {1: 2, 2: 3, 3: 5, 4: 3, 5: None}
+
+
+def test_floor_ranks(spark):
+    titles = {"1.-2. NORMAL KAT PLANI": 1, "TEM PLANI": -100, "STA-03": 3, "2. BODRUM KAT": -2, "BODRUM": -1, "CATI KATI": 98, "Çatı planı": 99, "asma kat": 0.5, "ZEMİN KAT": 0, "ÜÇÜNCÜ KAT": 3, "7. KAT": 7, "TIP KAT": 1, "DETAY": None}
+    got = spark.createDataFrame([(t,) for t in titles], "t string").select("t", text.floor_rank(F.col("t")).alias("r")).collect()
+    assert {r["t"]: r["r"] for r in got} == titles
+
+
 def test_revisions(spark):
     d = spark.createDataFrame([(1, 10, "A", "kalip", 3.0, None, "2024-01-01", 1), (1, 11, "A", "kalip", 3.0, None, "2024-02-01", 2), (1, 12, "A", "kalip", None, None, None, 3)], "project_id int, drawing_id int, block string, plan_type string, level double, rank int, revision string, uploaded int").withColumn("revision", F.to_date("revision"))
     assert rows(building.superseded_by(d).na.fill(0), "drawing_id", "superseded_by") == [(10, 11), (11, 0)]
