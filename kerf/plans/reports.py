@@ -13,7 +13,7 @@ def contributing(drawings):
     return reports.contributing(drawings).groupBy("plan_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-_LAYER = "concat('KSF-', CASE element_id % 3 WHEN 0 THEN 'STA' WHEN 1 THEN 'MIM' ELSE 'ELK' END, '-C', CAST(element_id % 20 AS VARCHAR(9)), CASE WHEN element_id % 2 = 0 THEN concat('-', CAST(drawing_id % 9 AS VARCHAR(9)), 'x2') ELSE '' END)"
+_LAYER = "concat('BLD-', CASE element_id % 3 WHEN 0 THEN 'STA' WHEN 1 THEN 'MIM' ELSE 'ELK' END, '-C', CAST(element_id % 20 AS VARCHAR(9)), CASE WHEN element_id % 2 = 0 THEN concat('-', CAST(drawing_id % 9 AS VARCHAR(9)), 'x2') ELSE '' END)"
 
 
 @query("lkp_layer_name_parts", f"SELECT DISTINCT {_LAYER} AS layer, CASE element_id % 3 WHEN 0 THEN 'STA' WHEN 1 THEN 'MIM' ELSE 'ELK' END AS discipline, concat('C', CAST(element_id % 20 AS VARCHAR)) AS code, CASE WHEN element_id % 2 = 0 THEN concat(CAST(drawing_id % 9 AS VARCHAR), 'x2') ELSE '' END AS spec FROM elements", "elements")
