@@ -24,10 +24,18 @@ WORK_GROUP = {"structural": "KABA", "rebar": "KABA", "architectural": "INCE", "e
 LABOR_UNIT = "saat"
 
 
+def priced(df: DataFrame) -> Column:
+    """A row counts as priced by its unit price, its labour or its hours, whichever of these columns it has."""
+    return sum((F.coalesce((F.col(c) > 0).cast("int"), F.lit(0)) for c in ("unit_price", "labor_price", "hours_per_unit") if c in df.columns), F.lit(0)) > 0
+
+
 def best_quote(quotes: DataFrame) -> DataFrame:
-    """WIN-1: of each scope and key the preferred row, else the least positive price, else the first row."""
-    w = Window.partitionBy("scope", "key").orderBy(F.desc("preferred"), F.desc(F.col("unit_price") > 0), "unit_price", "quote_id")
-    return quotes.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+    """WIN-1: of each scope and key the first preferred row, else the priced row of least positive unit price (rows priced
+    by labour or hours alone come after these), else the first row."""
+    rank = F.when(F.col("preferred"), 0).when(priced(quotes), 1).otherwise(2)
+    money = F.when((rank == 1) & (F.col("unit_price") > 0), F.col("unit_price").cast("double")).when(rank == 1, float("inf")).otherwise(0.0)
+    best = quotes.groupBy("scope", "key").agg(F.min_by(F.struct(*quotes.columns), F.struct(rank, money, "quote_id")).alias("q"))
+    return best.select("q.*")
 
 
 def latest_quote(quotes: DataFrame) -> DataFrame:
@@ -39,13 +47,33 @@ def latest_quote(quotes: DataFrame) -> DataFrame:
 
 
 def lookup_price(items: DataFrame, best: DataFrame) -> DataFrame:
-    """JOIN-23: the price of the exact key if it has one, else that of the kind's general key."""
-    own = best.select(F.col("key"), F.col("unit_price").alias("own_price"))
-    general = best.select(F.col("key").alias("general_key"), F.col("unit_price").alias("general_price"))
+    """JOIN-23: the row of the exact key if it is priced, else that of the kind's general key."""
+    row = lambda name: best.where(priced(best)).select(F.col("key").alias(f"{name}_key"), F.struct("unit_price", "labor_price").alias(name))
+    own, general = row("own").withColumnRenamed("own_key", "key"), row("general")
     joined = items.withColumn("general_key", F.concat(F.split_part("key", F.lit(":"), F.lit(1)), F.lit(":*"))).join(own, "key", "left").join(general, "general_key", "left")
-    found = F.when(F.col("own_price") > 0, F.col("own_price")).when(F.col("general_price") > 0, F.col("general_price")).otherwise(0.0)
-    source = F.when(F.col("own_price") > 0, "own").when(F.col("general_price") > 0, "general").otherwise("none")
-    return joined.withColumns({"price": found, "price_source": source}).drop("own_price", "general_price", "general_key")
+    found = F.coalesce("own", "general")
+    source = F.when(F.col("own").isNotNull(), "own").when(F.col("general").isNotNull(), "general").otherwise("none")
+    zero = F.lit(0.0)
+    return joined.withColumns({"price": F.coalesce(found["unit_price"], zero), "labor": F.coalesce(found["labor_price"], zero), "price_source": source}).drop("own", "general", "general_key")
+
+
+def inherit_prices(items: DataFrame, own: DataFrame, old: DataFrame, book: DataFrame) -> DataFrame:
+    """JOIN-25: the price of each project's product: its own, else the old price of the first of its items (by key), else
+    that of the first one's kind, else the price book's (exact product, then kind). Prices of 0 do not count.
+
+    items: project_id, kind, key, material. own: project_id, material, price. old: project_id, key, price. book: material,
+    price. Items without a product are left out.
+    """
+    priced_ = lambda df, name: df.where("price > 0").withColumnRenamed("price", name)
+    j = items.where("material IS NOT NULL").withColumn("general_key", F.concat("kind", F.lit(":*")))
+    j = j.join(priced_(old, "item"), ["project_id", "key"], "left").join(priced_(old, "general").withColumnRenamed("key", "general_key"), ["project_id", "general_key"], "left")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("key"))).alias(c)
+    m = j.groupBy("project_id", "material").agg(first("item"), first("general"))
+    m = m.withColumn("kind_book", F.concat(F.split_part("material", F.lit(":"), F.lit(1)), F.lit(":*"))).join(priced_(own, "own"), ["project_id", "material"], "left")
+    m = m.join(priced_(book, "exact"), "material", "left").join(priced_(book, "kind_price").withColumnRenamed("material", "kind_book"), "kind_book", "left").withColumn("book", F.coalesce("exact", "kind_price"))
+    order = ("own", "item", "general", "book")
+    source = F.coalesce(*[F.when(F.col(c).isNotNull(), c) for c in order], F.lit("none"))
+    return m.select("project_id", "material", F.coalesce(*order, F.lit(0.0)).alias("price"), source.alias("price_source"))
 
 
 def unit_factor(item_unit: Column, price_unit: Column) -> Column:

@@ -8,7 +8,8 @@ from kerf.operators import boq, cost
 from kerf.plans.base import query, rounded
 from kerf.plans.quantities import _ACC
 
-_BEST = "SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY scope, key ORDER BY preferred DESC, unit_price > 0 DESC, unit_price, quote_id) AS nth FROM quotes) WHERE nth = 1"
+_BEST = """SELECT * EXCLUDE (nth, class) FROM (SELECT *, row_number() OVER (PARTITION BY scope, key ORDER BY class, CASE WHEN class = 1 THEN CASE WHEN unit_price > 0 THEN unit_price ELSE 1e300 END END, quote_id) AS nth
+  FROM (SELECT *, CASE WHEN preferred THEN 0 WHEN unit_price + labor_price > 0 THEN 1 ELSE 2 END AS class FROM quotes)) WHERE nth = 1"""
 
 
 @query("win_best_quote", f"SELECT scope, key, supplier_id, quote_id, unit_price FROM ({_BEST})", "quotes")
@@ -23,14 +24,14 @@ def pricebook_upsert(quotes):
 
 @query(
     "join_price_lookup",
-    f"""WITH best AS (SELECT key, unit_price FROM ({_BEST}) WHERE scope = 'item'), i AS (SELECT DISTINCT concat('k', CAST(4 + element_id % 4 AS VARCHAR), ':g', CAST(drawing_id % 60 AS VARCHAR)) AS key FROM elements)
-    SELECT i.key, CASE WHEN o.unit_price > 0 THEN o.unit_price WHEN g.unit_price > 0 THEN g.unit_price ELSE 0 END AS price, CASE WHEN o.unit_price > 0 THEN 'own' WHEN g.unit_price > 0 THEN 'general' ELSE 'none' END AS price_source
+    f"""WITH best AS (SELECT key, unit_price, labor_price FROM ({_BEST}) WHERE scope = 'item' AND unit_price + labor_price > 0), i AS (SELECT DISTINCT concat('k', CAST(4 + element_id % 4 AS VARCHAR), ':g', CAST(drawing_id % 60 AS VARCHAR)) AS key FROM elements)
+    SELECT i.key, coalesce(o.unit_price, g.unit_price, 0) AS price, coalesce(o.labor_price, g.labor_price, 0) AS labor, CASE WHEN o.key IS NOT NULL THEN 'own' WHEN g.key IS NOT NULL THEN 'general' ELSE 'none' END AS price_source
     FROM i LEFT JOIN best o ON o.key = i.key LEFT JOIN best g ON g.key = concat(split_part(i.key, ':', 1), ':*')""",
     "quotes", "elements",
 )
 def price_lookup(quotes, elements):
     items = elements.select(F.concat(F.lit("k"), (4 + F.col("element_id") % 4).cast("string"), F.lit(":g"), (F.col("drawing_id") % 60).cast("string")).alias("key")).distinct()
-    return cost.lookup_price(items, cost.best_quote(quotes).where("scope = 'item'")).select("key", "price", "price_source")
+    return cost.lookup_price(items, cost.best_quote(quotes).where("scope = 'item'")).select("key", "price", "labor", "price_source")
 
 
 @query("join_rebar_hours", "WITH d AS (SELECT DISTINCT project_id, CASE WHEN element_id % 10 = 0 THEN NULL ELSE CAST(4 + element_id % 45 AS INT) END AS dia FROM elements), n(lo, hi, prepare, carry, place) AS (VALUES (6, 10, 8.0E0, 4.0E0, 15.0E0), (11, 12, 6.0E0, 3.0E0, 11.0E0), (13, 16, 5.0E0, 3.0E0, 8.0E0), (17, 22, 4.5E0, 2.5E0, 6.5E0), (23, 40, 4.0E0, 2.5E0, 5.0E0)) SELECT project_id, dia, round(prepare * 0.75E0, 2) AS prepare, carry, round(place * 1.15E0, 2) AS place FROM d JOIN n ON least(CASE WHEN coalesce(dia, 0) = 0 THEN 14 ELSE greatest(dia, 6) END, 40) BETWEEN lo AND hi", "elements")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from kerf.plans import building, costs, projects, quantities, reports, texts
+from kerf.plans import building, costs, details, projects, quantities, reports, texts
 from kerf.plans.base import ORACLE, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
 
-_MODULES = (building, costs, projects, quantities, reports, texts)
+_MODULES = (building, costs, details, projects, quantities, reports, texts)
 FLAGSHIP = QUERIES["cost_of_projects"]
