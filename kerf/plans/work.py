@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the folder of spark.checkpoint.dir, which all executors share (a local one only if unset)."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.environ.setdefault("KERF_LOCAL_WORK", tempfile.mkdtemp(prefix="kerf-"))
+    root = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("KERF_LOCAL_WORK")
+    if not root:
+        root = os.environ["KERF_LOCAL_WORK"] = tempfile.mkdtemp(prefix="kerf-")
     path = f"{root.rstrip('/')}/kerf-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
