@@ -70,9 +70,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of docs without benchmark text, all columns kept."""
-    bad = find_leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["leak_id"]), "left_anti")
+    """Rows of docs without benchmark text, all columns kept. Rows are told by id and text together, so of rows that share
+    an id, or have none, only those with benchmark text go."""
+    mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    own = docs.select(F.struct(docs["doc_id"].alias("id"), mark.alias("mark")).alias("doc_id"), docs["text"].alias("text"))
+    bad = find_leaks(own, benchmark).select(F.col("doc_id.id").alias("leak_id"), F.col("doc_id.mark").alias("leak_mark"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["leak_id"]) & (mark == bad["leak_mark"]), "left_anti")
 
 
 def _oracle() -> str:

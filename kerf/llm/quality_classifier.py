@@ -30,5 +30,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = TEXTS_PER
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = TEXTS_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of docs with a score of at least threshold; text must be a string column, and no column be named score."""
-    return nbsvm.score_texts(docs, fit_quality(docs, labels, per_class), nbsvm.token_ngrams, whole_rows=True).where(F.col("score") >= threshold).drop("score")
+    """Rows of docs with a score of at least threshold, all columns kept, whatever their names; text must be a string
+    column. Null ids and repeated rows are scored row by row; an empty table stays empty."""
+    own = docs.toDF(*[c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    kept = nbsvm.score_texts(own, fit_quality(docs, labels, per_class), nbsvm.token_ngrams, whole_rows=True).where(F.col("score") >= threshold)
+    return kept.drop("score").toDF(*docs.columns)
