@@ -47,6 +47,62 @@ def test_language_id(docs, none):
     assert language_id.predict_language(none).count() == 0
 
 
+def brute_force_bits(train, text):
+    """Code length of a text by the definition: method C, orders 3 to 0, then 8 bits."""
+    low = lambda t: bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())
+    count = {}
+    for t in train:
+        data = b"\0" * 3 + low(t)
+        for i in range(3, len(data)):
+            for k in range(4):
+                after = count.setdefault(data[i - k : i], {})
+                after[data[i]] = after.get(data[i], 0) + 1
+    data, bits = b"\0" * 3 + low(text), 0.0
+    for i in range(3, len(data)):
+        for k in (3, 2, 1, 0, -1):
+            after = count.get(data[i - k : i], {}) if k >= 0 else {}
+            if k < 0:
+                bits += 8
+            elif data[i] in after:
+                bits -= np.log2(after[data[i]] / (sum(after.values()) + len(after)))
+                break
+            elif after:
+                bits -= np.log2(len(after) / (sum(after.values()) + len(after)))
+    return bits
+
+
+def test_language_id_long_texts_in_parts():
+    """A text longer than a step has the codes that it has in one piece, as have its neighbours."""
+    r = random.Random(4)
+    texts = ["ab", "", "".join(r.choice("abc d") for _ in range(2 * language_id.STEP_BYTES + 77)), "xyz"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *map(len, texts)])
+    got = np.concatenate([codes for *_, codes in language_id._pieces(data, off)])
+    assert (got == language_id._codes(data, off)).all()
+
+
+def test_language_id_many_languages_and_scripts(spark):
+    """More languages than two blocks, two of them in scripts that differ in trailing bytes; all against brute force."""
+    r = random.Random(3)
+    alphabets = [r.sample("abcdefghijklmnopqrstuvwxyz", 9) for _ in range(18)]
+    alphabets += [[chr(0x0905 + k) for k in range(12)], [chr(0x0985 + k) for k in range(12)]]
+    make = lambda a: " ".join("".join(r.choice(a) for _ in range(r.randint(2, 6))) for _ in range(25))
+    rows = [(i, make(alphabets[i % 20]), f"l{i % 20:02d}") for i in range(240)] + [(900, "Ab", None), (901, "q \u0905", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in language_id.predict_language(df).collect()}
+    held = [i for i in range(240) if got[i]["held_out"]]
+    assert len(held) > 30 and all(got[i]["lang_pred"] == rows[i][2] for i in held)
+    train = {}
+    for i, t, lang in rows[:240]:
+        if not got[i]["held_out"]:
+            train.setdefault(lang, []).append(t)
+    for i in [*held[:6], 900, 901]:
+        bits = {k: brute_force_bits(v, dict((a, b) for a, b, _ in rows)[i]) for k, v in train.items()}
+        best = min(bits, key=bits.get)
+        assert got[i]["lang_pred"] == best
+        assert abs(got[i]["score"] - 1 / sum(2 ** (-(b - bits[best]) / 8) for b in bits.values())) < 1e-3
+
+
 @pytest.mark.parametrize("score", [quality_classifier.score_quality, toxicity.score_toxicity])
 def test_classifiers(docs, none, labels, score):
     got = score(docs, labels).collect()
