@@ -1,5 +1,9 @@
 """Stages on null ids, repeated ids and clashing columns."""
 
+import duckdb
+import pytest
+
+from kerf.llm import decontamination
 from kerf.llm.decontamination import remove_leaks
 from kerf.llm.quality_classifier import keep_good
 
@@ -23,3 +27,21 @@ def test_keep_good_with_a_score_column(spark):
     got = sorted((r["doc_id"], r["score"]) for r in kept.collect() if r["doc_id"] is not None)
     assert got == [(i, float(i)) for i in range(1, 80, 2)] and kept.where("doc_id IS NULL AND score = -1").count() == 2
     assert keep_good(docs.where("false"), labels).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_short_items_and_rows_without_own_id(spark, monkeypatch, most):
+    """Items of 5 to 11 words are found word for word, with and without broadcast; rows that share an id, or have none,
+    are compared by their own words."""
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", most)
+    names = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    items = [(1, names("a", 5)), (2, names("b", 11)), (3, names("c", 4)), (4, names("d", 14)), (5, "")]
+    rows = [(10, "x y " + names("a", 5) + " z"), (11, names("a", 4) + " a5"), (12, names("b", 11)), (13, names("c", 4) * 3), (None, "n " + names("d", 14)), (None, names("e", 30)), (14, names("e", 20)), (14, names("d", 14) + " w"), (15, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r["doc_id"], r["n_items"], r["first_item"], r["equal_words"], r["compared_words"]) for r in decontamination.find_leaks(docs, bench).collect()), key=repr)
+    assert got == sorted([(10, 1, 1, 5, 5), (12, 1, 2, 11, 11), (None, 1, 4, 14, 14), (14, 1, 4, 14, 14)], key=repr)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    con.register("benchmark", bench.toPandas())
+    assert sorted(con.execute(decontamination.ORACLE).fetchall(), key=repr) == got
