@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from kerf.llm.common import U64, IdFilter, Rolling, byte_view, materialize, steps
 
@@ -59,7 +60,8 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _packed(h: np.ndarray, doc: np.ndarray, at: np.ndarray, buckets: int) -> pa.RecordBatch | None:
     """Hashes and places by bucket of the hash; within a bucket in the given order, documents as runs."""
-    bucket = ((h >> U64(48)) % U64(buckets)).astype(np.int16 if buckets < 1 << 15 else np.int32)
+    # An odd number of buckets, so that equal low bits do not make equal buckets.
+    bucket = ((h >> U64(32)) % U64(buckets)).astype(np.int16 if buckets < 1 << 15 else np.int32)
     order = np.argsort(bucket, kind="stable")
     h, doc, at, bucket = h[order], doc[order], at[order], bucket[order]
     rows = []
@@ -157,10 +159,12 @@ def _segments(t: pa.Table) -> pa.Table:
 class SuffixDedup:
     def __init__(self, docs: DataFrame, samples_per_bucket: int = SAMPLES_PER_BUCKET):
         self.spark = docs.sparkSession
+        if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+            raise TypeError("doc_id has to be an integer")
         self.own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         self.facts = materialize(self.own.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
         total = self.facts.agg(F.sum("n_bytes")).first()[0] or 0
-        self.buckets = max(8, int(total * len(COVER) / PERIOD / samples_per_bucket) + 1)
+        self.buckets = max(8, int(total * len(COVER) / PERIOD / samples_per_bucket) + 1) | 1
 
     def _samples(self) -> DataFrame:
         buckets = self.buckets
@@ -280,4 +284,5 @@ class SuffixDedup:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs. Cases as in the module's text."""
     return SuffixDedup(docs).result()
