@@ -25,9 +25,12 @@ WORD_GAP = r"[\x20\x09-\x0D]"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors share; a local one only where that is
+    unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         root = os.environ.get("KERF_LOCAL_WORK") or tempfile.mkdtemp(prefix="kerf-")
         os.environ["KERF_LOCAL_WORK"] = root
     return f"{root.rstrip('/')}/kerf-{uuid.uuid4().hex}"
