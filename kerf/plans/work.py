@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, which all executors share (a local one only if unset)."""
+    """df as a table in the folder of spark.checkpoint.dir, which all executors share (a local one only if that is
+    unset and all runs on one machine)."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("KERF_LOCAL_WORK")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     if not root:
-        root = os.environ["KERF_LOCAL_WORK"] = tempfile.mkdtemp(prefix="kerf-")
+        root = os.environ["KERF_LOCAL_WORK"] = os.environ.get("KERF_LOCAL_WORK") or tempfile.mkdtemp(prefix="kerf-")
     path = f"{root.rstrip('/')}/kerf-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
