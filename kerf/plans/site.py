@@ -30,7 +30,7 @@ def foreign_owner(rows):
     """WITH p AS (SELECT element_id, length AS l, b AS w, length * b AS area, 1.5E0 + element_id % 4 AS depth, CASE WHEN element_id % 7 = 0 THEN 1.15E0 END AS margin,
       CASE WHEN element_id % 3 = 0 THEN 0.8E0 WHEN element_id % 5 = 0 THEN 1.0E0 ELSE 0.6E0 END AS k, (element_id % 2) * 0.5E0 AS slope FROM elements WHERE etype = 'foundation'),
     q AS (SELECT *, l + 2 * k AS l0, w + 2 * k AS w0, 2 * slope * depth AS more FROM p)
-    SELECT element_id, round(CASE WHEN margin > 0 THEN area * depth * margin WHEN element_id % 11 = 0 THEN area * depth ELSE depth * (l0 * w0 + more * (l0 + w0) / 2 + more * more / 3) END, 5) AS volume,
+    SELECT element_id, round(CASE WHEN margin > 0 THEN area * depth * margin WHEN element_id % 11 = 0 THEN area * depth ELSE depth * (l0 * w0 + more * (l0 + w0) / 2 + more * more / 3) END, 10) AS volume,
       CASE WHEN margin > 0 THEN 'param' WHEN element_id % 11 = 0 THEN 'default' WHEN element_id % 3 = 0 THEN 'drawing' WHEN element_id % 5 = 0 THEN 'param' ELSE 'default' END AS work_source FROM q""",
     "elements",
 )
@@ -42,7 +42,7 @@ def excavation_volume(elements):
         "element_id", F.when(e % 11 != 0, box).alias("points"), (F.col("length") * F.col("b")).alias("area"), (1.5 + e % 4).alias("depth"), F.when(e % 7 == 0, 1.15).alias("margin"),
         F.when(e % 3 == 0, 0.8).alias("note_work"), F.when(e % 5 == 0, 1.0).alias("own_work"), ((e % 2) * 0.5).alias("slope"),
     )
-    return rounded(site.excavation(pits).select("element_id", "volume", "work_source"), 5)
+    return rounded(site.excavation(pits).select("element_id", "volume", "work_source"), 10)
 
 
 _USE = "CASE drawing_id % 8 WHEN 0 THEN 'ticari' WHEN 1 THEN 'sosyal' WHEN 2 THEN NULL WHEN 3 THEN CASE WHEN project_id % 3 = 0 THEN 'konut' ELSE 'ticari' END ELSE CASE WHEN project_id % 2 = 0 THEN 'konut' ELSE 'ofis' END END"
