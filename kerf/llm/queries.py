@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerf.llm import decontamination, quality_rules
+from kerf.llm import ball_tree, centroids, decontamination, quality_rules
 from kerf.llm.chat_format import format_turns, read_back
 from kerf.llm.common import table
 from kerf.llm.language_id import predict_language
 from kerf.llm.jaccard_join import near_duplicates
+from kerf.llm.packing import pack
 from kerf.llm.pii import find_pii
 from kerf.llm.quality_classifier import score_quality
 from kerf.llm.sentencepiece_scan import round_trip
@@ -61,6 +62,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -72,9 +85,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_packing": op11_packing,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLE: dict[str, str] = {
     "op3_decontamination": decontamination.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op12_centroid_clustering": centroids.ORACLE,
+    "op13_ranked_search": ball_tree.ORACLE,
 }
