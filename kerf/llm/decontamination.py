@@ -10,7 +10,8 @@ a mask; they are found word for word, by a hash of all their words.
 The seeds of the benchmark are broadcast while they are few and small (BROADCAST_SEEDS, BROADCAST_BYTES, both measured
 first). Beyond that only ids, places and hashes are shuffled, and texts are fetched for the hits.
 
-Cases: null and empty texts have no words. Items of fewer than SHORTEST words cannot be told from chance and give no hits.
+Cases: null and empty texts have no words. Items of fewer words than `shortest` give no hits: by default those of 1 to 4
+words, which common phrases hold too.
 Texts of any length are searched whole. Rows of documents with one id, or with none, count as one document, and each
 row is compared by its own words; repeated items count once per id. Empty tables give an empty result. Other columns are not read and are not returned.
 """
@@ -47,16 +48,16 @@ def whole_seeds(df: DataFrame, words: str, place: str, n: int) -> DataFrame:
     return at.withColumn("seed", F.xxhash64(F.lit(-n), *[F.get(F.col(words), F.col(place) + i) for i in range(n)]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """One row per document that holds benchmark text: doc_id, n_items, first_item (least item_id), equal_words (most
-    in one window), compared_words (of that window)."""
+    in one window), compared_words (of that window). Items of less than `shortest` words are not looked for."""
     own = docs.select("doc_id", words_of(F.col("text")).alias("words")).withColumn("mark", F.xxhash64("words"))
     items = benchmark.select("item_id", words_of(F.col("text")).alias("item_words")).distinct()
     size = F.least(F.lit(WINDOW), F.size("item_words"))
     start = F.greatest(F.lit(0), F.least(F.col("q") - (WINDOW - SPAN) // 2, F.size("item_words") - size))
     wanted = seeds(items, "item_words", "q").select("item_id", "seed", (F.col("q") - start).alias("into"), F.slice("item_words", start + 1, size).alias("item_window")).distinct()
     found = seeds(own, "words", "p")
-    short = items.where(F.size("item_words").between(SHORTEST, SPAN - 1))
+    short = items.where(F.size("item_words").between(max(1, shortest), SPAN - 1)).where("item_words[0] <> ''")
     for n in sorted(r[0] for r in short.select(F.size("item_words")).distinct().collect()):
         whole = whole_seeds(short.where(F.size("item_words") == n), "item_words", "q", n)
         wanted = wanted.unionByName(whole.select("item_id", "seed", F.lit(0).alias("into"), F.col("item_words").alias("item_window")))
@@ -83,12 +84,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """Rows of docs without benchmark text, all columns kept. Rows are told by id and text together, so of rows that share
     an id, or have none, only those with benchmark text go."""
     mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     own = docs.select(F.struct(docs["doc_id"].alias("id"), mark.alias("mark")).alias("doc_id"), docs["text"].alias("text"))
-    bad = find_leaks(own, benchmark).select(F.col("doc_id.id").alias("leak_id"), F.col("doc_id.mark").alias("leak_mark"))
+    bad = find_leaks(own, benchmark, shortest).select(F.col("doc_id.id").alias("leak_id"), F.col("doc_id.mark").alias("leak_mark"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["leak_id"]) & (mark == bad["leak_mark"]), "left_anti")
 
 

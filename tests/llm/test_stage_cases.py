@@ -1,9 +1,12 @@
 """Stages on null ids, repeated ids and clashing columns."""
 
+import random
+
 import duckdb
 import pytest
 
-from kerf.llm import decontamination
+import corpus_pipeline
+from kerf.llm import decontamination, jaccard_join
 from kerf.llm.decontamination import remove_leaks
 from kerf.llm.quality_classifier import keep_good
 
@@ -45,3 +48,45 @@ def test_short_items_and_rows_without_own_id(spark, monkeypatch, most):
     con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
     con.register("benchmark", bench.toPandas())
     assert sorted(con.execute(decontamination.ORACLE).fetchall(), key=repr) == got
+
+
+def test_items_of_any_length_on_request(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "b  C"), (3, "c b"), (4, None), (5, "zz")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "b c"), (2, "zz"), (3, ""), (4, None)], "item_id long, text string")
+    assert decontamination.find_leaks(docs, bench).count() == 0
+    got = sorted(tuple(r)[:3] for r in decontamination.find_leaks(docs, bench, shortest=1).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (5, 1, 2)]
+    assert {r["doc_id"] for r in remove_leaks(docs, bench, shortest=2).collect()} == {3, 4, 5}
+
+
+def test_keep_one_tells_rows_by_id_and_text(spark):
+    """A row whose id a removed copy shares stays; of equal rows one stays; null ids come last."""
+    r = random.Random(1)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(40))
+    a, b, c = text(), text(), text()
+    rows = [(3, a, "p"), (5, a, "q"), (5, b, "r"), (None, a, "s"), (7, c, "t"), (7, c, "u"), (None, None, "v"), (8, "", "w"), (8, "", "x"), (None, text(), "y"), (9, a + " more", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3)
+    got = sorted(x["node"] for x in jaccard_join.keep_one(docs).collect())
+    assert [x for x in got if x not in "tu"] == ["p", "r", "v", "w", "x", "y"] and len([x for x in got if x in "tu"]) == 1
+    assert jaccard_join.keep_one(docs).columns == docs.columns
+    assert jaccard_join.keep_one(docs.where("false")).count() == 0
+    only_null = spark.createDataFrame([(None, a), (None, a), (None, a + " x")], "doc_id long, text string")
+    assert jaccard_join.keep_one(only_null).count() == 1
+
+
+def test_stages_on_odd_rows(spark):
+    """The pipeline's last stages take null ids, repeated ids, null and empty texts, columns of any name, no rows."""
+    long = " ".join(f"q{i}" for i in range(30))
+    rows = [(1, f"mail me at a.b@c.org {long}", "en", "s", 9), (1, None, None, None, None), (None, "call +44 20 7946 0958 now", "en", "s", 1), (None, "", "en", "s", 0), (2, long.upper().replace("Q", "z"), "en", "s", 3)]
+    docs = spark.createDataFrame([(*r, 1.0, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, spans string")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        if name == "benchmark_leaks":
+            continue
+        out = stage(spark, docs, "")
+        got = out.collect()
+        assert len(got) == 5 and sorted((r["doc_id"] for r in got), key=repr) == sorted((r[0] for r in rows), key=repr)
+        if name == "personal_data":
+            assert not any("a.b@c.org" in (r["text"] or "") or "7946" in (r["text"] or "") for r in got)
+        if name != "tokens":
+            assert out.columns == corpus_pipeline.COLUMNS
+        assert stage(spark, docs.where("false"), "").count() == 0
