@@ -75,40 +75,78 @@ def components(text: Column) -> Column:
     return F.transform(part, lambda x: F.struct(g(x, 1).alias("code"), F.coalesce(F.when(g(x, 2) != "", g(x, 2).try_cast("double")), F.lit(1.0)).alias("factor"), g(x, 3).alias("times"), g(x, 4).alias("spec")))
 
 
-#: The words of floor titles and their ranks.
-FLOOR_ORDINALS = ("BIRINCI", "IKINCI", "UCUNCU", "DORDUNCU", "BESINCI", "ALTINCI", "YEDINCI", "SEKIZINCI", "DOKUZUNCU", "ONUNCU")
-FOUNDATION_RANK, ATTIC_RANK, ROOF_RANK, MEZZANINE_RANK = -100.0, 98.0, 99.0, 0.5
+#: What a word of a floor title stands for, and its rank. Words with an ending count too ("BODRUMU").
+FLOOR_WORDS = [
+    ("TEMEL", "foundation", -100.0),
+    ("BODRUM", "basement", -1.0),
+    ("CATI", "roof", 99.0),
+    ("TERAS", "roof", 99.0),
+    ("ASMA", "mezzanine", 0.5),
+    ("ZEMIN", "ground", 0.0),
+    ("GIRIS", "ground", 0.0),
+    ("NORMAL", "typical", 1.0),
+    ("TIP", "typical", 1.0),
+    ("BIRINCI", "ordinal", 1.0),
+    ("IKINCI", "ordinal", 2.0),
+    ("UCUNCU", "ordinal", 3.0),
+    ("DORDUNCU", "ordinal", 4.0),
+    ("BESINCI", "ordinal", 5.0),
+    ("ALTINCI", "ordinal", 6.0),
+    ("YEDINCI", "ordinal", 7.0),
+    ("SEKIZINCI", "ordinal", 8.0),
+    ("DOKUZUNCU", "ordinal", 9.0),
+    ("ONUNCU", "ordinal", 10.0),
+]
+#: Rank of the floor below the roof; what tells more stands first.
+ATTIC_RANK = 98.0
+FLOOR_CLASSES = ["foundation", "span", "code", "numbered basement", "basement", "attic", "roof", "mezzanine", "ground", "ordinal", "number", "typical"]
 
 
 def floor_rank(title: Column) -> Column:
     """AGG-28: rank of a floor by its title; null if no word or number of it names a floor.
 
-    Titles of several floors count as their lowest; a sheet code counts where no numbered floor follows.
+    The title is cut into words, numbers and joining signs. Each word proposes a class and a rank: by FLOOR_WORDS, by the
+    numbers joined before it, or by the number behind it (a sheet code); the proposal of the first class wins. Numbers
+    joined before a floor word are several floors and count as the lowest place named first. A sheet code counts where no
+    numbered floor is named.
     """
-    n = normalize_title(title)
-
-    def number(pattern: str, of: Column = n) -> Column:
-        return F.regexp_extract(of, pattern, 1).try_cast("double")
-
-    def word(pattern: str, rank: float) -> Column:
-        return F.when(n.rlike(pattern), F.lit(rank))
-
-    numbered = r"(\d+)\s*\.?\s*(?:KAT|NORMAL)"
-    code = F.when(~n.rlike(r"\d\s*\.?\s*(?:KAT|NORMAL)"), number(r"\b[A-Z]{2,4}[-_ ](\d{1,2})\b"))
-    return F.coalesce(
-        word(r"TEMEL|\bTEM\b", FOUNDATION_RANK),
-        number(r"(\d+)\s*\.?\s*(?:-|/|,|VE)\s*\d+\s*\.?\s*(?:KAT|NORMAL)", F.upper(title)),
-        code,
-        -number(r"(\d+)\s*\.?\s*BODRUM"),
-        word("BODRUM", -1.0),
-        word(r"(?:CATI|TERAS)\s*KAT|CATI\s*ARASI", ATTIC_RANK),
-        word("CATI|TERAS", ROOF_RANK),
-        word("ASMA", MEZZANINE_RANK),
-        word("ZEMIN|GIRIS", 0.0),
-        *[word(rf"\b{w}\b", float(k)) for k, w in enumerate(FLOOR_ORDINALS, 1)],
-        number(numbered),
-        word("NORMAL|TIP", 1.0),
-    )
+    tokens = F.regexp_extract_all(F.upper(plain(F.coalesce(title, F.lit("")))), F.lit(r"([A-Z]+|[0-9]+|[-/,_])"), F.lit(1))
+    number = lambda x: F.when(x.rlike("^[0-9]+$"), x.try_cast("double"))
+    say = lambda kind, rank: F.struct(F.lit(FLOOR_CLASSES.index(kind)).alias("order"), rank.cast("double").alias("rank"))
+    nothing = F.lit(None).cast("struct<order:int,rank:double>")
+
+    def joined(i: Column) -> Column:
+        """first and n of the numbers that lead up to token i: `1 - 2` or `2 VE 3`."""
+        start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(0).alias("n"), F.lit(True).alias("number"), F.lit(True).alias("open"))
+
+        def step(s: Column, x: Column) -> Column:
+            fits = s["open"] & F.when(s["number"], number(x).isNotNull()).otherwise(x.isin("-", "/", ",", "VE"))
+            takes = fits & s["number"]
+            return F.struct(F.when(takes, number(x)).otherwise(s["first"]).alias("first"), (s["n"] + takes.cast("int")).alias("n"), (s["number"] != fits).alias("number"), fits.alias("open"))
+
+        return F.aggregate(F.reverse(F.slice(tokens, 1, i)), start, step)
+
+    def proposals(x: Column, i: Column) -> Column:
+        before, after, next_but_one = joined(i), F.get(tokens, i + 1), F.get(tokens, i + 2)
+        ahead = F.when(after.isin("-", "_"), next_but_one).otherwise(after)
+        below_roof = after.startswith("KAT") | after.startswith("ARASI")
+        out = [F.when(x == "TEM", say("foundation", F.lit(FLOOR_WORDS[0][2])))]
+        for word, kind, rank in FLOOR_WORDS:
+            told = say(kind, F.lit(rank))
+            if kind == "basement":
+                told = F.when(before["n"] > 0, say("numbered basement", -before["first"])).otherwise(told)
+            elif kind == "roof":
+                told = F.when(below_roof, say("attic", F.lit(ATTIC_RANK))).otherwise(told)
+            out.append(F.when((x == word) if kind == "ordinal" else x.startswith(word), told))
+        floor = x.startswith("KAT") | x.startswith("NORMAL")
+        out.append(F.when(floor & (before["n"] > 0), F.when(before["n"] > 1, say("span", before["first"])).otherwise(say("number", before["first"]))))
+        out.append(F.when(x.rlike("^[A-Z]{2,4}$") & ahead.rlike("^[0-9]{1,2}$"), say("code", number(ahead))))
+        return F.array(*[F.coalesce(p, nothing) for p in out])
+
+    said = F.filter(F.flatten(F.transform(tokens, proposals)), lambda p: p.isNotNull())
+    of = lambda *kinds: [FLOOR_CLASSES.index(k) for k in kinds]
+    numbered = F.exists(said, lambda p: p["order"].isin(of("span", "number")))
+    return F.array_min(F.filter(said, lambda p: ~(numbered & p["order"].isin(of("code")))))["rank"]
 
 
 def first_rule(rows: DataFrame, rules: DataFrame, value: str, result: str, scope: str | None = None) -> DataFrame:

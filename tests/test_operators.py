@@ -104,3 +104,13 @@ def test_titles_and_ranks(spark):
     df = spark.createDataFrame([("ÇATI_PLANI",), ("2. BODRUM",), ("ZEMİN KAT",), ("?",)], "t string")
     got = df.select(text.normalize_title(F.col("t")).alias("n"), text.floor_rank(F.col("t")).alias("r")).collect()
     assert [(r["n"], r["r"]) for r in got] == [("CATI PLANI", 99.0), ("2 BODRUM", -2.0), ("ZEMIN KAT", 0.0), ("?", None)]
+
+
+def test_floor_titles_of_joined_numbers_and_codes(spark):
+    """Numbers joined before a floor word, codes beside numbered floors, words with endings, and titles that name none."""
+    titles = {
+        "4/5. kat tavanı": 4, "6 ve 7. normal kat": 6, "B Blok 12 3. kat": 3, "MIM-00": 0, "ST_07 kesit": 7, "AK-2 9. KAT": 9, "3. bodrumun planı": -3, "Bodrumlar": -1, "teras katı": 98,
+        "Çatı arası": 98, "teras bahçe": 99, "giriş holü": 0, "tip plan": 1, "normal kat": 1, "onuncu kat": 10, "temeller": -100, "": None, None: None, "A1 detay": None, "12": None, "asma tavanlı zemin": 0.5,
+    }
+    got = spark.createDataFrame([(t,) for t in titles], "t string").select("t", text.floor_rank(F.col("t")).alias("r")).collect()
+    assert {r["t"]: r["r"] for r in got} == titles
