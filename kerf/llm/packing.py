@@ -18,7 +18,9 @@ lies in one piece, and offsets of a sequence have no gap.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +36,15 @@ CAPACITY, END_ID = 2048, 1
 PER_GROUP = 4096
 #: Gaps of less ids are left as padding, so that no document is cut into crumbs.
 LEAST_CUT = 16
-#: Words that a task remembers, and bytes of the longest one; longer ones are encoded each time.
-REMEMBERED, LONGEST_WORD = 1 << 18, 64
+#: Words that a worker remembers, and bytes of the longest one; longer ones are encoded each time.
+REMEMBERED, LONGEST_WORD = 1 << 20, 64
 _GAPS = bytes.maketrans(b"\t\n\r", b"   ")
+#: Bytes of text that are encoded at a time; each word that is new in them is told once.
+STEP_BYTES = 1 << 21
+_SIGNS = {b".", b",", b";", b":", b"!", b"?"}
+#: Small letters that have no other form, and words of them.
+SMALL_LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_SMALL_WORD = re.compile(f"[{SMALL_LETTERS}]+")
 _SMALL = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
 
@@ -47,42 +55,81 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian numbers, from a tokenizer whose words never cross white space."""
+    """Ids of whole texts as little-endian numbers, from a tokenizer whose words never cross white space and whose words of
+    letters end at a sign (it also has to take capitals as small letters)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.code, self.kind = ("I", np.dtype("<u4")) if wide else ("H", np.dtype("<u2"))
         self.known: dict[bytes, bytes] = {b"": b""}
-
-    def of_words(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
+        # Words of small letters go straight to the tokenizer's model, if it leaves such letters as they are and together.
+        cut = lambda x: [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(x))]
+        told = {c: cut(c) for c in SMALL_LETTERS} if self.tokenizer.normalizer and self.tokenizer.pre_tokenizer else {}
+        whole = bool(told) and all(len(x) == 1 for x in told.values()) and cut(SMALL_LETTERS) == ["".join(x[0] for x in told.values())]
+        self.letters = str.maketrans({c: x[0] for c, x in told.items()}) if whole else None
+        self.model = self.tokenizer.model
+
+    def ask(self, words: list[bytes]) -> None:
+        """Put what the tokenizer says of the words into known."""
+        rest = []
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            if self.letters and _SMALL_WORD.fullmatch(t):
+                self.known[w] = array(self.code, [x.id for x in self.model.tokenize(t.translate(self.letters))]).tobytes()
+            else:
+                rest.append((w, t))
+        for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)):
+            self.known[w] = array(self.code, e.ids).tobytes()
+
+    def learn(self, new: list[bytes]) -> list[bytes]:
+        """Put the ids of new words into known; what was put there. A sign behind a letter is told apart, and so are
+        capitals, so that fewer words go to the tokenizer; marks that join the letter before them keep a word as it is."""
+        signs = [w[-1:] if w[-1:] in _SIGNS and w[-2:-1].isalpha() else b"" for w in new]
+        stems = [w[:-1] if s else w for w, s in zip(new, signs)]
+        stems = [w if b"<" in w or b"\xcc" in w else w.lower() for w in stems]
+        known = self.known
+        asked = list({*stems, *signs}.difference(known))
+        self.ask(asked)
+        for w, stem, sign in zip(new, stems, signs):
+            if sign or w != stem:
+                known[w] = known[stem] + known[sign]
+        return asked + new
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.translate(_GAPS).split(b" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {b"": b""}
-        new = list({w for ws in split for w in ws if w not in self.known})
-        self.known |= zip(new, self.of_words(new))
+        put = self.learn(list(set().union(*split).difference(self.known)))
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), self.kind) for ws in split]
-        for w in new:
+        for w in put:
             if len(w) > LONGEST_WORD:
-                del self.known[w]
+                self.known.pop(w, None)
         return out
 
 
+#: Encoders of this worker, which several tasks use one after another.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     """Rows doc_id, text to pieces of at most capacity ids; piece numbers are unique in the table that is written."""
-    coder, at = Encoder(path), TaskContext.get().partitionId() << 40
+    coder, at = encoder(path), TaskContext.get().partitionId() << 40
     for batch in batches:
         data, off = byte_view(batch.column(1))
-        for i, j in steps(off):
+        for i, j in steps(off, STEP_BYTES):
             rows, start, length, total, crc, ids = [], [], [], [], [], []
             for row, text in enumerate(coder.encode([data[off[k] : off[k + 1]].tobytes() for k in range(i, j)]), i):
                 text = np.append(text, np.array(end_id, coder.kind))

@@ -19,8 +19,10 @@ def library():
 
 def some_texts():
     r = random.Random(8)
-    odd = ["a", "B", "é", "é", "́", " ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", " ", "　", "漢", "9", "'s", "'LL", "don't", "<|endoftext|>", "<|startoftext|>", "!?", "İ", "Σ", "\U0001f600", "\0", "﻿"]
-    return ["", " ", *odd] + ["".join(r.choice(odd) for _ in range(r.randint(1, 60))) for _ in range(400)] + ["x" * 300 + " " + "y" * 70]
+    odd = ["a", "B", "é", "é", "́", " ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", " ", "　", "漢", "9", "'s", "'LL", "don't", "<|endoftext|>", "<|startoftext|>", "!?", "İ", "Σ", "\U0001f600", "\0", "﻿", "Word.", "it'S,", "J\u030c", "H\u0331!", "?.", "A;", "..", "É:", "<|ENDOFTEXT|>"]
+    plain = ["".join(r.choice(packing.SMALL_LETTERS) for _ in range(r.randint(1, 9))) for _ in range(300)]
+    odd += ["Élan", *plain[:20]]
+    return ["", " ", *odd, " ".join(plain)] + ["".join(r.choice(odd) for _ in range(r.randint(1, 60))) for _ in range(400)] + ["x" * 300 + " " + "y" * 70]
 
 
 def test_ids_are_the_library_s(library):
@@ -29,7 +31,7 @@ def test_ids_are_the_library_s(library):
     for part in (texts[:200], texts[200:], texts):
         got = coder.encode([t.encode() for t in part])
         assert [g.tolist() for g in got] == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
-    assert all(len(w) <= packing.LONGEST_WORD for w in coder.known)
+    assert coder.letters and all(len(w) <= packing.LONGEST_WORD for w in coder.known)
 
 
 def test_first_fit_is_the_first_bin_with_room():
