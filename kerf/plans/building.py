@@ -8,6 +8,7 @@ from kerf.functions import geometry
 from kerf.operators import boq, building, quantity, spatial
 from kerf.plans.base import query, rounded
 from kerf.plans.components import connected
+from kerf.plans.sheets import greedy_sql
 from kerf.plans.quantities import LINES, lines_of
 
 _BOX = "SELECT drawing_id, element_id AS id, etype, x AS x0, y AS y0, x + length AS x1, y + b * 10 AS y1 FROM elements WHERE etype = 'slab'"
@@ -97,7 +98,7 @@ def mutual_first(elements):
     return rounded(spatial.mutual_nearest(_pairs(elements), "lid", "rid", 1).select("lid", "rid", "distance"))
 
 
-@query("join_greedy_match", None, "elements")
+@query("join_greedy_match", f"WITH RECURSIVE {_PTS}, q AS (SELECT DISTINCT lid AS a_id, rid AS b_id, distance FROM p), {greedy_sql('m', 'q')} SELECT a_id AS lid, b_id AS rid, round(distance, 4) AS distance FROM m WHERE hit", "elements")
 def greedy_match(elements):
     return rounded(spatial.mutual_nearest(_pairs(elements), "lid", "rid").select("lid", "rid", "distance"))
 
@@ -117,7 +118,7 @@ def same_objects(elements):
     return rounded(spatial.duplicates_across(_objects(elements), (F.col("drawing_id") % 3).cast("int")))
 
 
-@query("join_scope_dropped", None, "elements")
+@query("join_scope_dropped", f"{_SAME.replace('WITH o AS', 'WITH RECURSIVE o AS').replace(' SELECT a.project_id, a.floor', ', q AS (SELECT DISTINCT a_element_id AS a_id, b_element_id AS b_id, distance FROM (SELECT a.project_id, a.floor', 1).replace(', 4) AS distance', ', 12) AS distance')})), {greedy_sql('m', 'q')} SELECT b_id AS dropped, a_id AS owner FROM m WHERE hit", "elements")
 def scope_dropped(elements):
     p = spatial.duplicates_across(_objects(elements), (F.col("drawing_id") % 3).cast("int"))
     return spatial.mutual_nearest(p, "a_element_id", "b_element_id").select(F.col("b_element_id").alias("dropped"), F.col("a_element_id").alias("owner"))
@@ -306,16 +307,7 @@ def floor_identity(drawings):
     return connected(n.join(low, ["project_id", "l"]).select(F.col("node").alias("a"), F.col("low").alias("b")))
 
 
-@query("cc_touching_lines", None, "elements")
-def touching_lines(elements):
-    """CC-1: beams whose snapped ends meet are one run; ends where three or more meet do not join."""
-    e = elements.where("etype = 'beam'").select("project_id", "element_id", "length", F.explode(F.array(F.struct(F.floor(F.col("x") / 10).alias("px"), F.floor(F.col("y") / 10).alias("py")), F.struct(F.floor((F.col("x") + F.col("length")) / 10).alias("px"), F.floor(F.col("y") / 10).alias("py")))).alias("end"))
-    met = e.groupBy("project_id", "end").agg(F.min("element_id").alias("a"), F.max("element_id").alias("b"), F.countDistinct("element_id").alias("n")).where("n = 2")
-    comp = connected(met.select("a", "b"))
-    return rounded(elements.where("etype = 'beam'").join(comp, elements["element_id"] == comp["node"], "left").groupBy(F.coalesce("component", "element_id").alias("run")).agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("lines")))
-
-
-@query("cc_merge_areas", None, "elements")
+@query("cc_merge_areas", f"WITH RECURSIVE b AS MATERIALIZED ({_PROJECT_BOX}), e AS MATERIALIZED (SELECT p.id AS u, q.id AS v FROM b p JOIN b q ON p.project_id = q.project_id AND least(p.x1, q.x1) > greatest(p.x0, q.x0) AND least(p.y1, q.y1) > greatest(p.y0, q.y0)), r AS (SELECT u AS node, u AS low FROM e UNION SELECT e.v, r.low FROM r JOIN e ON r.node = e.u WHERE r.low < e.v), c AS (SELECT node AS id, min(low) AS area_id FROM r GROUP BY node) SELECT coalesce(area_id, id) AS area_id, round(sum((x1 - x0) * (y1 - y0)), 4) AS area, count(*) AS parts FROM b LEFT JOIN c USING (id) GROUP BY 1", "elements")
 def merge_areas(elements):
     """CC-3: slabs that touch are one, with the sum of their areas."""
     b = project_boxes(elements)

@@ -147,10 +147,24 @@ def steel_heights(drawings):
     return rounded(projects.steel_heights(s).select("drawing_id", "height"))
 
 
-@query("join_nearest_level", None, "drawings")
+#: Table levels meet a plan level, lie beside one, in the middle of two, or too far from any, by the sheet's number.
+_FLOOR = "(drawing_id // 8 % 6) * 3.0E0"
+_BESIDE = "CASE drawing_id % 7 WHEN 0 THEN 0.0E0 WHEN 1 THEN 0.4E0 WHEN 2 THEN -1.2E0 WHEN 3 THEN 1.5E0 WHEN 4 THEN 40.0E0 WHEN 5 THEN 0.1E0 ELSE 0.0E0 END"
+_NEAREST_LEVEL = f"""WITH RECURSIVE t AS (SELECT project_id * 20 + drawing_id % 20 AS project_id, list_sort(list_distinct(list(round({_FLOOR} + {_BESIDE}, 2)))) AS t FROM drawings WHERE plan_type = 'donati' GROUP BY 1),
+p AS (SELECT project_id * 20 + drawing_id % 20 + 3 - drawing_id % 4 AS project_id, list_sort(list_distinct(list(round({_FLOOR}, 2)))) AS p FROM drawings WHERE plan_type <> 'donati' AND drawing_id % 3 <> 0 GROUP BY 1),
+j AS (SELECT project_id, list_filter(t, lambda v: NOT list_contains(p, v)) AS rest, list_filter(p, lambda v: NOT list_contains(t, v)) AS free, list_filter(t, lambda v: list_contains(p, v)) AS exact FROM t JOIN p USING (project_id)),
+r AS (SELECT project_id, rest, free, CAST(NULL AS DOUBLE) AS level, CAST(NULL AS DOUBLE) AS plan FROM j
+  UNION ALL SELECT project_id, rest[2:], CASE WHEN d IS NULL THEN free ELSE list_filter(free, lambda v: v <> near) END, rest[1], near FROM (
+    SELECT *, list_min(list_filter(free, lambda v: abs(v - rest[1]) = d)) AS near FROM (SELECT *, list_min(list_filter(list_transform(free, lambda v: abs(v - rest[1])), lambda x: x <= 1.5E0)) AS d FROM r WHERE len(rest) > 0)))
+SELECT project_id, level, plan FROM r WHERE plan IS NOT NULL UNION ALL SELECT project_id, v, v FROM (SELECT project_id, unnest(exact) AS v FROM j)"""
+
+
+@query("join_nearest_level", _NEAREST_LEVEL, "drawings")
 def nearest_level(drawings):
-    d = drawings.where("level IS NOT NULL").withColumn("level", F.round("level", 2))
-    return projects.nearest_free_level(d.where("plan_type = 'donati'").select("project_id", (F.col("level") + F.when(F.col("drawing_id") % 8 == 3, 0.5).otherwise(0.0)).alias("level")), d.where("plan_type = 'kalip'"))
+    floor, beside = _FLOOR.replace("//", "DIV"), _BESIDE
+    table = drawings.where("plan_type = 'donati'").selectExpr("project_id * 20 + drawing_id % 20 AS project_id", f"round({floor} + {beside}, 2) AS level")
+    plans = drawings.where("plan_type <> 'donati' AND drawing_id % 3 <> 0").selectExpr("project_id * 20 + drawing_id % 20 + 3 - drawing_id % 4 AS project_id", f"round({floor}, 2) AS level")
+    return projects.nearest_free_level(table, plans)
 
 
 @query("set_union_of_producers", "SELECT project_id, key, round(sum(q), 4) AS quantity FROM (SELECT project_id, concat(kind, ':', grp) AS key, quantity AS q FROM boq WHERE kind = 'beton' UNION ALL SELECT project_id, concat(kind, ':', grp), quantity FROM boq WHERE kind = 'kalip' UNION ALL SELECT project_id, 'beton:*', CAST(cnt AS DOUBLE) FROM boq WHERE kind = 'demir') GROUP BY ALL", "boq")

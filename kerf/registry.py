@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from kerf.plans import building, costs, details, projects, quantities, reports, site, texts
+from kerf.plans import building, costs, details, lines, outlines, projects, quantities, reports, sheets, site, tables, texts
 from kerf.plans.base import ORACLE, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
 
-_MODULES = (building, costs, details, projects, quantities, reports, site, texts)
+_MODULES = (building, costs, details, lines, outlines, projects, quantities, reports, sheets, site, tables, texts)
 FLAGSHIP = QUERIES["cost_of_projects"]
