@@ -1,4 +1,5 @@
-"""Removal of repeated passages: difference-cover suffix sorting, one suffix bucket at a time.
+"""Removal of repeated passages: suffixes sampled by a difference cover, told apart by hashes of their first bytes, one
+bucket at a time. No suffix is compared with another byte by byte, so it is no full suffix sort.
 
 A byte goes if a string of LENGTH bytes over it also starts earlier (in a smaller doc_id, or earlier in the same text).
 
