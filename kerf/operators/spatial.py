@@ -59,11 +59,12 @@ def mutual_nearest(pairs: DataFrame, left: str, right: str, rounds: int | None =
             out = hit if out is None else out.unionByName(hit)
             rest = _unmatched(rest, hit, left, right)
         return out
-    rest = written(pairs.dropDuplicates([left, right, "distance"]))
-    out, n = rest.limit(0), rest.count()
+    first = pairs.dropDuplicates([left, right, "distance"])
+    rest, out = written(first), first.sparkSession.createDataFrame([], first.schema)
+    n = rest.count()
     while n:
         hit = written(_mutual(rest, left, right))
-        out, rest, before = out.unionByName(hit), written(_unmatched(rest, hit, left, right)), n
+        out, rest, before = out.unionByName(hit), written(_unmatched(rest, hit, left, right), [rest]), n
         n = rest.count()
         if 4 * n > 3 * before:
             return out.unionByName(written(_closest_first(rest, left, right)))

@@ -5,13 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, spent: Iterable[DataFrame] = ()) -> DataFrame:
     """df as a table in the folder of spark.checkpoint.dir, which all executors share (a local one only if that is
-    unset and all runs on one machine)."""
+    unset and all runs on one machine). Tables of earlier calls named in spent are deleted when it is written; no plan
+    that is still to run may refer to them."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
@@ -20,4 +22,9 @@ def written(df: DataFrame) -> DataFrame:
         root = os.environ["KERF_LOCAL_WORK"] = os.environ.get("KERF_LOCAL_WORK") or tempfile.mkdtemp(prefix="kerf-")
     path = f"{root.rstrip('/')}/kerf-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in spent:
+        where = spark._jvm.org.apache.hadoop.fs.Path(old.written_to)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
