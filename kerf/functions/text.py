@@ -164,16 +164,20 @@ def first_rule(rows: DataFrame, rules: DataFrame, value: str, result: str, scope
     return rows.join(hit, keys, "left")
 
 
+#: An item number; its last part has four digits or more.
+POZ = r"\d{2}\.\d{3}\.\d{4,}"
+
+
 def price_list(lines: DataFrame) -> DataFrame:
     """SRC-4: item number, name, unit and price of each readable line; of repeated numbers the last line wins.
 
     lines: line_no, line. Lines without a number or a price are skipped; repeats tells how often a number came.
     """
-    poz = F.regexp_extract("line", r"\b(\d{2}\.\d{3}\.\d{4})\b", 1)
+    poz = F.regexp_extract("line", rf"\b({POZ})\b", 1)
     parts = F.filter(F.transform(F.split("line", r"\s*[;|\t]\s*"), lambda x: F.trim(x)), lambda x: x != "")
-    numbers = F.filter(parts, lambda x: ~x.rlike(r"^\d{2}\.\d{3}\.\d{4}$") & (parse_number(x) > 0))
+    numbers = F.filter(parts, lambda x: ~x.rlike(f"^{POZ}$") & (parse_number(x) > 0))
     unit = F.filter(parts, lambda x: x.rlike(r"^(?i)(m|m2|m3|m²|m³|kg|ton|adet|saat|l)$"))
-    name = F.filter(parts, lambda x: ~x.rlike(r"^\d{2}\.\d{3}\.\d{4}$") & parse_number(x).isNull() & ~x.rlike(r"^(?i)(m|m2|m3|m²|m³|kg|ton|adet|saat|l)$"))
+    name = F.filter(parts, lambda x: ~x.rlike(f"^{POZ}$") & parse_number(x).isNull() & ~x.rlike(r"^(?i)(m|m2|m3|m²|m³|kg|ton|adet|saat|l)$"))
     read = lines.select("line_no", poz.alias("poz"), F.array_join(name, " ").alias("name"), F.lower(F.coalesce(F.get(unit, 0), F.lit(""))).alias("unit"), parse_number(F.try_element_at(numbers, F.lit(-1))).alias("price"))
     good = read.where((F.col("poz") != "") & F.col("price").isNotNull())
     w = Window.partitionBy("poz").orderBy(F.desc("line_no"))
