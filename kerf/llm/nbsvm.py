@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerf.llm.common import LOWER, SPACE, U64, Rolling, byte_view, crc_mod, id_and_text, mix, steps
+from kerf.llm.common import LOWER, SPACE, U64, Rolling, byte_view, crc_mod, id_and_text, mix, steps, tidy
 
 BITS = 20
 #: For each text, the hashed features (they may repeat).
@@ -194,6 +194,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
 
 def score_texts(docs: DataFrame, model: Model, features: Features, whole_rows: bool = False) -> DataFrame:
     """doc_id and score of each row; with whole_rows, all columns of docs and, last, the score."""
+    tidy(docs.sparkSession)  # the texts and features of the fit
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs if whole_rows else id_and_text(docs)
     text_at = own.columns.index("text")
