@@ -157,7 +157,8 @@ def duration(lines: DataFrame) -> DataFrame:
 
 def default_price_keys(items: DataFrame) -> DataFrame:
     """AGG-19: one key per item and a general one per kind."""
-    return items.select("project_id", F.concat_ws(":", "kind", "grp").alias("key")).unionByName(items.select("project_id", F.concat(F.col("kind"), F.lit(":*")).alias("key"))).distinct()
+    both = F.array(F.concat_ws(":", "kind", "grp"), F.concat(F.col("kind"), F.lit(":*")))
+    return items.select("project_id", F.explode(both).alias("key")).distinct()
 
 
 def missing_ranked(lines: DataFrame, most: int) -> DataFrame:

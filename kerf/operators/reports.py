@@ -68,7 +68,8 @@ def known_products(items: DataFrame, classes: list[str], diameters: list[int]) -
     """AGG-60: concrete classes, bar diameters, general keys and items, one row a key."""
     spark = items.sparkSession
     fixed = spark.createDataFrame([(f"beton:{c}",) for c in classes] + [(f"demir:o{d}",) for d in diameters], "key string")
-    return fixed.unionByName(items.select(F.concat(F.col("kind"), F.lit(":*")).alias("key"))).unionByName(items.select(F.concat_ws(":", "kind", "grp").alias("key"))).distinct()
+    both = F.array(F.concat(F.col("kind"), F.lit(":*")), F.concat_ws(":", "kind", "grp"))
+    return fixed.unionByName(items.select(F.explode(both).alias("key"))).distinct()
 
 
 def derivations(heights: DataFrame, storeys: DataFrame) -> DataFrame:

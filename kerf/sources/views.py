@@ -109,14 +109,28 @@ def with_views(body: str, *names: str) -> str:
 
 
 _JOINS = {"lineitem": None, "part": ("l_partkey", "p_partkey"), "orders": ("l_orderkey", "o_orderkey"), "supplier": ("l_suppkey", "s_suppkey")}
+#: Bytes of the tables' files that one task of a join gets, so that its sorts and maps do not grow with the tables.
+TASK_BYTES = 8 << 20
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def size_of(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(where).getLength()
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The view's rows. Tables that are too large to broadcast meet in as many parts as their bytes ask for: the number of
+    shuffle partitions is fixed, and what Spark joins of them into one is as large as many small rows can be."""
     source, columns = VIEWS[name]
     tables = [part.split()[0] for part in source.split(" JOIN ")]
-    df = spark.read.parquet(f"{sf_dir}/{tables[0]}.parquet")
+    df, total = spark.read.parquet(f"{sf_dir}/{tables[0]}.parquet"), size_of(spark, f"{sf_dir}/{tables[0]}.parquet")
+    small = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     for t in tables[1:]:
         left, right = _JOINS[t]
-        other = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        other, own = spark.read.parquet(f"{sf_dir}/{t}.parquet"), size_of(spark, f"{sf_dir}/{t}.parquet")
+        total += own
+        parts = -(-total // task_bytes)
+        if own > small and parts > spark.sparkContext.defaultParallelism:
+            df, other = df.repartition(parts, left), other.repartition(parts, right)
         df = df.join(other, df[left] == other[right])
     return df.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
