@@ -13,6 +13,8 @@ from kerf.plans.work import written
 #: Signs of a diameter, rows by their label (the first that matches a cell tells the row), units.
 DIAMETER = r"^\s*(?:[ØøΦφ∅ƒ]|%%[cC]|[qQ])\s*(\d{1,2})\s*(?:mm|MM)?\s*$"
 NUMBER = r"^-?\d{1,3}([.,]\d{3})*([.,]\d+)?$|^-?\d+([.,]\d+)?$"
+#: One comma alone, points that group thousands, or a comma after the only point.
+DECIMAL_COMMA = r"^[^.,]*,[^.,]*$|\..*\.|^[^.]*\.[^.]*,[^.]*$"
 LABELS = [
     ("length", r"(?i)TOPLAM\s*BOY|TOTAL\s*LENGTH"),
     ("unit", r"(?i)B[Iİ]R[Iİ]M\s*A[GĞ]IRLIK|UNIT\s*WEIG"),
@@ -30,52 +32,100 @@ NO_HEIGHT = 0.08
 def value(text: Column) -> Column:
     """The number of a cell, or null: of the signs . and , the last one is the decimal sign, unless it comes twice or
     commas group thousands before a point."""
-    t = F.regexp_replace(F.trim(text), " ", "")
-    commas, points = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))), F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
-    local = (points > 1) | ((commas >= 1) & (points == 1) & (F.instr(F.reverse(t), ",") < F.instr(F.reverse(t), ".")))
-    plain = F.when((commas == 1) & (points == 0), F.replace(t, F.lit(","), F.lit("."))).when(local, F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(","), F.lit("")))
-    return F.when(t.rlike(NUMBER), plain.try_cast("double"))
-
-
-def cells_of(texts: DataFrame) -> DataFrame:
-    """The texts with their row (numbered from above: a step down of more than LINE of the median height begins one), what
-    they are (dia, number, label) and the reach of a sheet's columns."""
-    t = texts.select("drawing_id", "x", "y", F.trim("text").alias("text"), "height").where("text <> ''")
-    high = t.where("height > 0").groupBy("drawing_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY height DESC)").alias("median"))
-    t = t.join(high, "drawing_id", "left").withColumn("median", F.coalesce("median", F.lit(NO_HEIGHT)))
-    down = Window.partitionBy("drawing_id").orderBy(F.desc("y"), "x", "text")
-    starts = F.coalesce(F.lag("y").over(down) - F.col("y") > LINE * F.col("median"), F.lit(True)).cast("int")
-    dia = F.regexp_extract("text", DIAMETER, 1).try_cast("int")
-    t = t.withColumns({"starts": starts, "cell": F.row_number().over(down)}).withColumn("row", F.sum("starts").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    return t.select("drawing_id", "row", "cell", "x", "y", "text", F.when(dia.between(6, 50), dia).alias("dia"), value(F.col("text")).alias("number"), F.greatest(F.lit(LEAST_REACH), REACH * F.col("median")).alias("reach"))
-
-
-def tables_of(cells: DataFrame) -> DataFrame:
-    """One row a table: its header row (top), the row before which it ends, its columns (dia, x), extent and reaches. A row
-    of headers is several tables where gaps exceed APART of its least one; a later header over the same extent ends it."""
-    row = Window.partitionBy("drawing_id", "row").orderBy("x", "dia")
-    h = cells.where("dia IS NOT NULL").withColumn("gap", F.col("x") - F.lag("x").over(row))
-    least = F.min(F.when(F.col("gap") > 1e-6, F.col("gap"))).over(Window.partitionBy("drawing_id", "row"))
-    h = h.withColumn("base", F.coalesce(least, F.lit(1.0))).withColumn("part", F.sum((F.coalesce("gap", F.lit(0.0)) > APART * F.col("base")).cast("int")).over(row))
-    # A diameter that stands twice in a header has its last place.
-    h = h.groupBy("drawing_id", "row", "part", "dia").agg(F.max("x").alias("x"), F.min("x").alias("first"), F.max("y").alias("y"), F.first("reach").alias("reach"))
-    t = h.groupBy("drawing_id", F.col("row").alias("top"), "part").agg(F.array_sort(F.collect_list(F.struct("x", "dia"))).alias("columns"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("first").alias("anchor_x"), F.max("y").alias("anchor_y"), F.first("reach").alias("reach"))
-    gaps = F.filter(F.transform(F.sequence(F.lit(1), F.size("columns")), lambda i: F.element_at("columns", i)["x"] - F.coalesce(F.get("columns", i - 2)["x"], F.lit(1e300))), lambda g: g > 1e-6)
-    t = t.withColumn("gap", F.array_min(gaps))
-    a, b = t.alias("a"), t.select("drawing_id", F.col("top").alias("next"), F.col("lo").alias("n_lo"), F.col("hi").alias("n_hi")).alias("b")
-    over = (F.col("next") > F.col("top")) & (F.col("n_hi") + F.col("reach") >= F.col("lo")) & (F.col("n_lo") - F.col("reach") <= F.col("hi"))
-    ends = a.join(b, "drawing_id").where(over).groupBy("drawing_id", "top", "part").agg(F.min("next").alias("end"))
-    t = t.join(ends, ["drawing_id", "top", "part"], "left")
-    return t.withColumns({"near": F.coalesce(F.col("gap") / 2, F.col("reach")), "beside": F.when(F.size("columns") > 1, F.coalesce("gap", F.lit(1.0))).otherwise(F.col("reach"))})
-
-
-def labels_of(cells: DataFrame) -> DataFrame:
-    """The label of each row: that of its first cell, from the left, which is one; and the factor of its numbers."""
-    kind = F.coalesce(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in LABELS])
-    c = cells.where("number IS NULL AND dia IS NULL").withColumn("kind", kind).where("kind IS NOT NULL")
-    first = c.groupBy("drawing_id", "row").agg(F.min_by(F.struct("kind", F.col("x").alias("label_x"), "text"), F.struct("x", "text")).alias("l")).select("drawing_id", "row", "l.*")
-    factor = F.when((F.col("kind") == "length") & F.col("text").rlike(CENTIMETRES), 0.01).when(F.col("kind").isin("declared", "weight") & F.col("text").rlike(TONNES), 1000.0).otherwise(1.0)
-    return first.select("drawing_id", "row", "kind", "label_x", factor.alias("factor"))
+    return _value(F.replace(F.trim(text), F.lit(" "), F.lit("")))
+
+
+def _value(bare: Column) -> Column:
+    signed = F.when(bare.rlike(DECIMAL_COMMA), F.translate(bare, ",.", ".")).otherwise(F.translate(bare, ",", ""))
+    plain = F.when(bare.contains(",") | bare.contains("."), signed).otherwise(bare)
+    return F.when(bare.rlike(NUMBER), plain.try_cast("double"))
+
+
+def once(df: DataFrame, **columns: str) -> DataFrame:
+    """df with the columns, each worked out once a row: without the explode Spark puts their expressions into the lambdas
+    and filters that read them, which then work them out for each element."""
+    return df.select("*", F.inline(F.array(F.struct(*[F.expr(e).alias(c) for c, e in columns.items()]))))
+
+
+def sheets_of(texts: DataFrame) -> DataFrame:
+    """One row a sheet that has a header cell: its rows from above, each an array of cells (a step down of more than LINE of
+    the median height begins one), and the reach of its columns. A cell is a dia, a number, a label or none of them."""
+    t = texts.where("x IS NOT NULL AND y IS NOT NULL").select("drawing_id", "x", "y", F.trim("text").alias("text"), "height").where("text <> ''")
+    t = t.withColumn("bare", F.replace("text", F.lit(" "), F.lit(""))).withColumn("number", _value(F.col("bare")))
+    # Texts without a diameter are not cast: a cast that fails costs Spark more than all the rest of a cell.
+    dia = F.when(F.col("number").isNull(), F.regexp_extract("text", DIAMETER, 1))
+    t = t.withColumn("dia", dia).withColumn("dia", F.when(F.col("dia") != "", F.col("dia").cast("int"))).withColumn("dia", F.when(F.col("dia").between(6, 50), F.col("dia")))
+    label = F.when(F.col("number").isNull() & F.col("dia").isNull() & F.col("text").rlike("|".join(f"(?:{p})" for _, p in LABELS)), F.col("text"))
+    # The struct is made before the aggregate, which would not compile it.
+    s = t.select("drawing_id", F.struct("y", "x", "dia", "number", label.alias("label"), "height").alias("cell")).groupBy("drawing_id").agg(F.collect_list("cell").alias("cells"))
+    s = once(s.where("exists(cells.dia, d -> d IS NOT NULL)"), sorted="sort_array(cells, false)", heights="sort_array(filter(cells.height, h -> h > 0), false)")
+    s = once(s, ys="sorted.y", median=f"coalesce(get(heights, shiftright(size(heights) + 1, 1) - 1), {NO_HEIGHT}D)")
+    s = once(s, starts=f"filter(sequence(0, size(ys) - 1), i -> i = 0 OR get(ys, i - 1) - get(ys, i) > {LINE}D * median)")
+    s = once(s, rows="transform(starts, (s, k) -> slice(sorted, s + 1, coalesce(get(starts, k + 1), size(sorted)) - s))", reach=f"greatest({LEAST_REACH}D, {REACH}D * median)")
+    return s.select("drawing_id", "rows", "reach")
+
+
+def with_tables(sheets: DataFrame) -> DataFrame:
+    """The sheets with their tables: header row (top, from 1), part of it, columns (x, dia), extent, anchor, reaches and the
+    row before which it ends. A row of headers is several tables where gaps exceed APART of its least one; a later header
+    over the same extent ends it."""
+    steps = {
+        "heads": "filter(transform(rows, (r, k) -> struct(k + 1 AS top, sort_array(transform(filter(r, c -> c.dia IS NOT NULL), c -> struct(c.x AS x, c.dia AS dia, c.y AS y))) AS h)), a -> size(a.h) > 0)",
+        "gapped": "transform(heads, a -> struct(a.top AS top, a.h AS h, transform(a.h, (c, i) -> c.x - get(a.h, i - 1).x) AS gaps))",
+        "based": "transform(gapped, a -> struct(a.top AS top, a.h AS h, a.gaps AS gaps, coalesce(array_min(filter(a.gaps, g -> g > 1e-6D)), 1D) AS base))",
+        "broken": f"transform(based, a -> struct(a.top AS top, a.h AS h, filter(sequence(0, size(a.h) - 1), i -> i = 0 OR get(a.gaps, i) > {APART}D * a.base) AS breaks))",
+        "parts": "flatten(transform(broken, a -> transform(a.breaks, (b, p) -> struct(a.top AS top, p AS part, slice(a.h, b + 1, coalesce(get(a.breaks, p + 1), size(a.h)) - b) AS h))))",
+        # A diameter that stands twice in a header has its last place.
+        "columned": "transform(parts, a -> struct(a.top AS top, a.part AS part, a.h[0].x AS anchor_x, array_max(a.h.y) AS anchor_y, sort_array(transform(array_distinct(a.h.dia), d -> struct(array_max(filter(a.h, c -> c.dia = d)).x AS x, d AS dia))) AS columns))",
+        "spaced": "transform(columned, a -> struct(a.top AS top, a.part AS part, a.anchor_x AS anchor_x, a.anchor_y AS anchor_y, a.columns AS columns, array_min(a.columns).x AS lo, array_max(a.columns).x AS hi, array_min(filter(transform(a.columns, (c, i) -> c.x - get(a.columns, i - 1).x), g -> g > 1e-6D)) AS gap))",
+        "tables": """transform(spaced, a -> struct(a.top AS top, a.part AS part, a.anchor_x AS anchor_x, a.anchor_y AS anchor_y, a.columns AS columns, a.lo AS lo, a.hi AS hi, coalesce(a.gap / 2, reach) AS near,
+            if(size(a.columns) > 1, coalesce(a.gap, 1D), reach) AS beside, array_min(filter(spaced, b -> b.top > a.top AND b.hi + reach >= a.lo AND b.lo - reach <= a.hi).top) AS end))""",
+    }
+    for name, step in steps.items():
+        sheets = once(sheets, **{name: step})
+    return sheets.select("drawing_id", "rows", "reach", "tables")
+
+
+def met_rows(sheets: DataFrame) -> DataFrame:
+    """The rows of numbers that stand below open tables: kind, numbers (x, number in metres and kilograms) and the tables in
+    scope. The label of a row is its first, from the left."""
+    r = sheets.select("drawing_id", "reach", "tables", F.posexplode(F.col("rows")).alias("row", "cells")).where("NOT exists(cells.dia, d -> d IS NOT NULL)")
+    r = once(r, numbers="transform(filter(cells, c -> c.number IS NOT NULL), c -> struct(c.x AS x, c.number AS number))", open="filter(tables, t -> row + 1 > t.top AND (t.end IS NULL OR row + 1 < t.end))", label="array_min(transform(filter(cells, c -> c.label IS NOT NULL), c -> struct(c.x AS x, c.label AS text)))")
+    r = r.where("size(numbers) > 0 AND size(open) > 0").select("drawing_id", "reach", "numbers", "open", F.col("label.x").alias("label_x"), F.col("label.text").alias("text"))
+    kinds = "CASE " + " ".join(f"WHEN text RLIKE r'{p}' THEN '{k}'" for k, p in LABELS) + " END"
+    r = once(r, kind=kinds).where("kind IS NULL OR kind <> 'unit'")
+    factor = f"CASE WHEN kind = 'length' AND text RLIKE r'{CENTIMETRES}' THEN 0.01D WHEN kind <> 'length' AND text RLIKE r'{TONNES}' THEN 1000D ELSE 1D END"
+    r = once(r, factor=factor, fits="if(label_x IS NULL, NULL, filter(open, t -> t.hi >= label_x - reach))")
+    nearest = "array(array_min(transform(fits, t -> struct(abs(t.lo - label_x) AS d, t.top AS top, t.part AS part, t AS t))).t)"
+    r = once(r, scope=f"CASE WHEN size(fits) > 1 THEN {nearest} WHEN size(fits) = 1 THEN fits ELSE open END", scaled="if(factor = 1D, numbers, transform(numbers, n -> struct(n.x AS x, n.number * factor AS number)))")
+    return r.select("drawing_id", "kind", F.col("scaled").alias("numbers"), "scope")
+
+
+def by_diameter(texts: DataFrame) -> DataFrame:
+    """One row a diameter of a table: drawing_id, top, part, anchor_x, anchor_y, dia, length_m, weight_kg, from_length, and
+    of its table total_kg, declared_kg, pos_count, differs; see bar_tables. Texts are grouped by sheet once, and all that
+    follows stays in their partitions."""
+    met = met_rows(with_tables(sheets_of(texts)))
+    # A row of positions has no label and three numbers at least; its last number tells the table.
+    sought = "CASE WHEN kind IS NULL THEN if(size(numbers) >= 3, array(array_max(numbers)), array()) WHEN kind = 'declared' THEN array() ELSE numbers END"
+    hit = """array_min(flatten(transform(scope, t -> transform(filter(t.columns, c -> abs(c.x - n.x) <= t.near),
+        c -> struct(round(abs(c.x - n.x), 9) AS d, t.top AS top, t.part AS part, c.x AS x, c.dia AS dia, t.anchor_x AS anchor_x, t.anchor_y AS anchor_y)))))"""
+    declared = "transform(scope, t -> struct(array_max(filter(numbers, n -> n.x >= t.lo - t.beside AND n.x <= t.hi + t.beside).number) AS number, struct(0D AS d, t.top AS top, t.part AS part, t.lo AS x, NULL AS dia, t.anchor_x AS anchor_x, t.anchor_y AS anchor_y) AS hit))"
+    met = once(met, sought=sought)
+    hits = met.select("drawing_id", "kind", F.explode(F.expr(f"CASE WHEN kind = 'declared' THEN {declared} ELSE transform(sought, n -> struct(n.number AS number, {hit} AS hit)) END")).alias("m"))
+    hits = hits.select("drawing_id", "kind", "m.number", "m.hit.*").where("top IS NOT NULL")
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("number"))
+    dia = F.when(F.col("kind").isin("length", "weight"), F.col("dia")).alias("dia")
+    per = hits.groupBy("drawing_id", "top", "part", dia).agg(
+        F.max("anchor_x").alias("anchor_x"), F.max("anchor_y").alias("anchor_y"), F.coalesce(F.sum(of("length")), F.lit(0.0)).alias("length_m"), F.coalesce(F.sum(of("weight")), F.lit(0.0)).alias("weight"),
+        F.max(of("declared")).alias("declared"), F.count(F.when(F.col("kind").isNull(), 1)).alias("positions"),
+    )
+    by_length = (F.col("weight") <= 0) & (F.col("length_m") > 0)
+    per = per.withColumn("from_length", by_length).withColumn("weight_kg", F.when(by_length, F.col("length_m") * KG * F.col("dia") * F.col("dia")).otherwise(F.col("weight")))
+    table = Window.partitionBy("drawing_id", "top", "part")
+    per = per.withColumns({"total_kg": F.sum("weight_kg").over(table), "declared_kg": F.max("declared").over(table), "pos_count": F.sum("positions").over(table)}).where("dia IS NOT NULL AND total_kg > 0")
+    differs = F.coalesce((F.col("declared_kg") > 0) & (F.abs(F.col("total_kg") - F.col("declared_kg")) > DIFFERS * F.col("declared_kg")), F.lit(False))
+    return per.select("drawing_id", "top", "part", "anchor_x", "anchor_y", "dia", "length_m", "weight_kg", "from_length", "total_kg", "declared_kg", "pos_count", differs.alias("differs"))
 
 
 def bar_tables(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,36 +138,8 @@ def bar_tables(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     it; other rows to all open tables. A number goes to the nearest column within half the least gap. A weight that is
     missing or nothing is the length times the unit weight. Tables without weight are none. Texts without an x or y go.
     """
-    # Written where they are used more than once, as each use would plan and run them anew.
-    cells = written(cells_of(texts.where("x IS NOT NULL AND y IS NOT NULL")))
-    tables, labels = written(tables_of(cells)), labels_of(cells)
+    # Written, as each of the two would run it anew.
+    rows = written(by_diameter(texts))
     name = ["drawing_id", "top", "part"]
-    headers = cells.where("dia IS NOT NULL").select("drawing_id", "row").distinct()
-    numbers = cells.where("number IS NOT NULL").join(headers, ["drawing_id", "row"], "left_anti").select("drawing_id", "row", "cell", "x", "number")
-    rows = numbers.select("drawing_id", "row").distinct().join(labels, ["drawing_id", "row"], "left")
-    opened = rows.join(tables, "drawing_id").where((F.col("row") > F.col("top")) & (F.col("end").isNull() | (F.col("row") < F.col("end"))))
-    fits = F.col("label_x").isNull() | (F.col("hi") >= F.col("label_x") - F.col("reach"))
-    by_row = Window.partitionBy("drawing_id", "row")
-    order = by_row.orderBy(F.desc("fits"), F.abs(F.col("lo") - F.col("label_x")), "top", "part")
-    opened = opened.withColumn("fits", fits).withColumns({"nth": F.row_number().over(order), "any": F.max("fits").over(by_row)})
-    opened = opened.where(F.col("label_x").isNull() | ~F.col("any") | (F.col("nth") == 1))
-    met = numbers.join(opened.drop("fits", "nth", "any"), ["drawing_id", "row"]).withColumn("number", F.col("number") * F.coalesce("factor", F.lit(1.0)))
-    met = written(met)
-    columned = met.select("*", F.explode("columns").alias("c")).where(F.abs(F.col("c.x") - F.col("x")) <= F.col("near"))
-    cell = ["drawing_id", "cell"]
-    order = Window.partitionBy(*cell).orderBy(F.round(F.abs(F.col("c.x") - F.col("x")), 9), "top", "part", "c.x")
-    nearest = written(columned.withColumn("pick", F.row_number().over(order)).where("pick = 1"))
-    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("number"))), F.lit(0.0))
-    per = nearest.where("kind IN ('length', 'weight')").groupBy(*name, F.col("c.dia").alias("dia")).agg(of("length").alias("length_m"), of("weight").alias("weight"))
-    by_length = (F.col("weight") <= 0) & (F.col("length_m") > 0)
-    weight = F.when(by_length, F.col("length_m") * KG * F.col("dia") * F.col("dia")).otherwise(F.col("weight"))
-    diameters = written(per.select(*name, "dia", "length_m", weight.alias("weight_kg"), by_length.alias("from_length")))
-    declared = met.where("kind = 'declared'").where((F.col("x") >= F.col("lo") - F.col("beside")) & (F.col("x") <= F.col("hi") + F.col("beside"))).groupBy(*name).agg(F.max("number").alias("declared_kg"))
-    # A row of positions has no label and three numbers at least; its last number tells the table.
-    last = numbers.groupBy("drawing_id", "row").agg(F.count(F.lit(1)).alias("n"), F.max_by("cell", F.struct("x", "number", "cell")).alias("cell")).where("n >= 3").select(*cell)
-    positions = nearest.where("kind IS NULL").join(last, cell).groupBy(*name).agg(F.count(F.lit(1)).alias("pos_count"))
-    total = diameters.groupBy(*name).agg(F.sum("weight_kg").alias("total_kg"))
-    out = tables.select(*name, "anchor_x", "anchor_y").join(total, name).where("total_kg > 0").join(declared, name, "left").join(positions, name, "left")
-    differs = F.coalesce((F.col("declared_kg") > 0) & (F.abs(F.col("total_kg") - F.col("declared_kg")) > DIFFERS * F.col("declared_kg")), F.lit(False))
-    out = out.select(*name, "anchor_x", "anchor_y", "total_kg", "declared_kg", F.coalesce("pos_count", F.lit(0)).alias("pos_count"), differs.alias("differs"))
-    return out, diameters.join(out.select(*name), name, "left_semi")
+    tables = rows.select(*name, "anchor_x", "anchor_y", "total_kg", "declared_kg", "pos_count", "differs").dropDuplicates(name)
+    return tables, rows.select(*name, "dia", "length_m", "weight_kg", "from_length")

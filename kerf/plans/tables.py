@@ -7,41 +7,52 @@ from pyspark.sql import functions as F
 
 from kerf.operators import bar_tables
 from kerf.plans.base import query_on_tables, rounded
+from kerf.sources.views import size_of
 
 _LINES = "SELECT l_orderkey, l_linenumber AS n, min(l_partkey) AS p, CAST(min(l_quantity) AS INT) AS q FROM lineitem GROUP BY ALL"
 
 
+#: Bytes of the table's file that one task gets: a line becomes about six texts.
+TASK_BYTES = 2 << 20
+
+
 def bar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order is a sheet with a table of a column a line: headers, rows of positions, lengths, and on some sheets
-    weights, a declared total (a tenth too much on some) and a second table beside it with a length in centimetres."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("drawing_id"), F.col("l_linenumber").cast("int").alias("n")).agg(F.min("l_partkey").alias("p"), F.min("l_quantity").cast("int").alias("q"))
-    lines = lines.withColumn("k", F.row_number().over(Window.partitionBy("drawing_id").orderBy("n")))
-    sheets = lines.groupBy("drawing_id").agg(F.lit(1).alias("k"), F.sum("q").alias("q"), F.count(F.lit(1)).alias("cnt"))
-    cell = lambda d, x, y, text, where="true": d.where(where).selectExpr("drawing_id", f"CAST({x} AS DOUBLE) AS x", f"CAST({y} AS DOUBLE) AS y", f"{text} AS text")
+    weights, a declared total (a tenth too much on some) and a second table beside it with a length in centimetres.
+    Lines are dealt by sheet once; their texts stay where they are."""
+    path = f"{sf_dir}/lineitem.parquet"
+    parts = max(spark.sparkContext.defaultParallelism, -(-size_of(spark, path) // TASK_BYTES))
+    lines = spark.read.parquet(path).select(F.col("l_orderkey").alias("drawing_id"), F.col("l_linenumber").cast("int").alias("n"), "l_partkey", "l_quantity")
+    lines = lines.repartition(parts, "drawing_id").groupBy("drawing_id", "n").agg(F.min("l_partkey").alias("p"), F.min("l_quantity").cast("int").alias("q"))
+    sheet = Window.partitionBy("drawing_id").orderBy("n")
+    whole = sheet.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lines = lines.withColumns({"k": F.row_number().over(sheet), "sq": F.sum("q").over(whole), "cnt": F.count(F.lit(1)).over(whole)})
     sign = "CASE p % 2 WHEN 0 THEN '.' ELSE ',' END"
     weighed, second = "drawing_id % 3 <> 0", "drawing_id % 4 = 1 AND cnt > 1"
     label = "CASE WHEN drawing_id % 5 = 0 THEN 'AĞIRLIK (ton)' ELSE 'AGIRLIK / WEIGHT (kg)' END"
-    parts = [
-        cell(lines, "100 * k", "100 + n % 2 * 0.4", "concat(CASE p % 3 WHEN 0 THEN 'Ø' WHEN 1 THEN 'ƒ ' ELSE '%%c' END, 6 + 2 * n)"),
-        cell(lines, "0", "90 - 3 * n", "concat('0', n)"),
-        cell(lines, "20", "90 - 3 * n", "CAST(6 + 2 * n AS STRING)"),
-        cell(lines, "40", "90 - 3 * n", "CAST(q AS STRING)"),
-        cell(lines, "100 * k + 10", "90 - 3 * n", "concat(q * 12, '.50')"),
-        cell(sheets, "-50", "60", "'TOPLAM BOY (m)'"),
-        cell(lines, "100 * k", "60 - n % 2 * 0.5", f"concat(q * 12, {sign}, '50')"),
-        cell(sheets, "-50", "50", label, weighed),
-        cell(lines, "100 * k - 5", "50", "CASE WHEN drawing_id % 5 = 0 THEN concat('0.', lpad(CAST(q * 10 AS STRING), 3, '0')) ELSE concat(q * 10, '.0') END", weighed),
-        cell(sheets, "-50", "40", "'GENEL TOPLAM / GENERAL'", weighed),
-        cell(sheets, "100 * k + 3", "40", "CAST(CASE WHEN drawing_id % 7 = 0 THEN q * 11 ELSE q * 10 END AS STRING)", weighed),
-        cell(sheets, "3000", "100", "'Ø32'", second),
-        cell(sheets, "2950", "56", "'TOTAL LENGTH (cm)'", second),
-        cell(sheets, "3000", "56", "'2500'", second),
-        cell(sheets, "9000", "40", "'777'"),
+    # x, y, text and where it stands; texts of the sheet stand with its first line.
+    of_line = [
+        ("100 * k", "100 + n % 2 * 0.4", "concat(CASE p % 3 WHEN 0 THEN 'Ø' WHEN 1 THEN 'ƒ ' ELSE '%%c' END, 6 + 2 * n)", "true"),
+        ("0", "90 - 3 * n", "concat('0', n)", "true"),
+        ("20", "90 - 3 * n", "CAST(6 + 2 * n AS STRING)", "true"),
+        ("40", "90 - 3 * n", "CAST(q AS STRING)", "true"),
+        ("100 * k + 10", "90 - 3 * n", "concat(q * 12, '.50')", "true"),
+        ("100 * k", "60 - n % 2 * 0.5", f"concat(q * 12, {sign}, '50')", "true"),
+        ("100 * k - 5", "50", "CASE WHEN drawing_id % 5 = 0 THEN concat('0.', lpad(CAST(q * 10 AS STRING), 3, '0')) ELSE concat(q * 10, '.0') END", weighed),
+    ]
+    of_sheet = [
+        ("-50", "60", "'TOPLAM BOY (m)'", "true"),
+        ("-50", "50", label, weighed),
+        ("-50", "40", "'GENEL TOPLAM / GENERAL'", weighed),
+        ("103", "40", "CAST(CASE WHEN drawing_id % 7 = 0 THEN sq * 11 ELSE sq * 10 END AS STRING)", weighed),
+        ("3000", "100", "'Ø32'", second),
+        ("2950", "56", "'TOTAL LENGTH (cm)'", second),
+        ("3000", "56", "'2500'", second),
+        ("9000", "40", "'777'", "true"),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("height", F.lit(3.0))
+    cells = [(x, y, f"CASE WHEN {where} THEN {text} END") for x, y, text, where in of_line + [(x, y, text, f"k = 1 AND {where}") for x, y, text, where in of_sheet]]
+    stacked = ", ".join(f"CAST({x} AS DOUBLE), CAST({y} AS DOUBLE), {text}" for x, y, text in cells)
+    return lines.selectExpr("drawing_id", f"stack({len(cells)}, {stacked}) AS (x, y, text)").where("text IS NOT NULL").withColumn("height", F.lit(3.0))
 
 
 _WANT = f"""WITH l AS ({_LINES}), s AS (SELECT l_orderkey, min(n) AS n, sum(q) AS q, count(*) AS cnt FROM l GROUP BY l_orderkey),
@@ -55,6 +66,5 @@ FROM d JOIN t USING (drawing_id, part) JOIN s ON l_orderkey = drawing_id"""
 
 @query_on_tables("isl_bar_tables", _WANT)
 def tables(spark, sf_dir):
-    found, diameters = bar_tables.bar_tables(bar_texts(spark, sf_dir))
-    both = diameters.join(found, ["drawing_id", "top", "part"])
-    return rounded(both.select("drawing_id", F.col("part").cast("long").alias("part"), "dia", "length_m", "weight_kg", "from_length", "total_kg", "declared_kg", F.col("pos_count").cast("long").alias("pos_count"), "differs"), 5)
+    found = bar_tables.by_diameter(bar_texts(spark, sf_dir))
+    return rounded(found.select("drawing_id", F.col("part").cast("long").alias("part"), "dia", "length_m", "weight_kg", "from_length", "total_kg", "declared_kg", F.col("pos_count").cast("long").alias("pos_count"), "differs"), 5)

@@ -1,8 +1,13 @@
 """Bar tables from loose texts: two side by side, one below another, missing rows, units, positions."""
 
+import os
+
 import pytest
 
 from kerf.operators import bar_tables
+from kerf.registry import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 SCHEMA = "drawing_id long, x double, y double, text string, height double"
 
@@ -55,3 +60,15 @@ def test_numbers_and_no_texts(spark):
     df = spark.createDataFrame([(t,) for t in told], "t string")
     assert {r["t"]: r["v"] for r in df.select("t", bar_tables.value(df["t"]).alias("v")).collect()} == told
     assert [d.count() for d in bar_tables.bar_tables(spark.createDataFrame([], SCHEMA))] == [0, 0]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_sheets_are_dealt_once(spark):
+    plan = QUERIES["isl_bar_tables"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "kerf-" not in plan
+
+
+def test_steps_stay_out_of_lambdas(spark):
+    """Each sort of a sheet stands in its plan once, not in the steps that read it."""
+    plan = bar_tables.by_diameter(spark.createDataFrame(SIDE, SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(cells#") == 1 and plan.count("sort_array(filter(") == 1
