@@ -10,6 +10,7 @@ from kerf.plans.base import query, rounded
 from kerf.plans.components import connected
 from kerf.plans.sheets import greedy_sql
 from kerf.plans.quantities import LINES, lines_of
+from kerf.plans.work import written
 
 _BOX = "SELECT drawing_id, element_id AS id, etype, x AS x0, y AS y0, x + length AS x1, y + b * 10 AS y1 FROM elements WHERE etype = 'slab'"
 
@@ -294,9 +295,10 @@ def majority_unit(elements):
     return building.majority(elements.select("drawing_id", F.when(F.col("element_id") % 5 < 3, "cm").otherwise("mm").alias("unit")), ["drawing_id"], "unit", 2, 0.6)
 
 
-@query("join_plan_offset", "WITH t AS (SELECT project_id, etype AS name, area, x, y FROM elements WHERE drawing_id % 40 = 0), s AS (SELECT project_id, name, area, x - 3 AS x, y - 7 AS y FROM t), p AS (SELECT t.project_id, round(t.x - s.x, 2) AS dx, round(t.y - s.y, 2) AS dy, count(*) AS votes FROM t JOIN s ON t.project_id = s.project_id AND t.name = s.name AND abs(t.area - s.area) <= greatest(0.05E0, 0.01E0 * t.area) GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY votes DESC, dx DESC, dy DESC) AS nth FROM p), n AS (SELECT project_id, count(*) AS rooms FROM t GROUP BY ALL) SELECT project_id, dx, dy, votes FROM b JOIN n USING (project_id) WHERE nth = 1 AND votes >= 2 AND votes * 2 >= rooms", "elements")
+@query("join_plan_offset", "WITH t AS (SELECT project_id, etype AS name, area, x, y FROM elements), s AS (SELECT project_id, name, area, x - 3 AS x, y - 7 AS y FROM t), p AS (SELECT t.project_id, round(t.x - s.x, 2) AS dx, round(t.y - s.y, 2) AS dy, count(*) AS votes FROM t JOIN s ON t.project_id = s.project_id AND t.name = s.name AND abs(t.area - s.area) <= greatest(0.05E0, 0.01E0 * t.area) GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY votes DESC, dx DESC, dy DESC) AS nth FROM p), n AS (SELECT project_id, count(*) AS rooms FROM t GROUP BY ALL) SELECT project_id, dx, dy, votes FROM b JOIN n USING (project_id) WHERE nth = 1 AND votes >= 2 AND votes * 2 >= rooms", "elements")
 def plan_offset(elements):
-    t = elements.where("drawing_id % 40 = 0").select("project_id", F.col("etype").alias("name"), "area", "x", "y")
+    # Read five times by the operator, so that the joins behind the elements run once.
+    t = written(elements.select("project_id", F.col("etype").alias("name"), "area", "x", "y"))
     return spatial.plan_offset(t, t.withColumns({"x": F.col("x") - 3, "y": F.col("y") - 7}))
 
 
